@@ -5,14 +5,17 @@
 2. Inverted lists of retained values: values held by one class only are useless; a class whose sketch has fewer
    shared values than any linked pair must overlap in is out; of the others only the rarest values are listed, as many
    as a linked pair cannot avoid sharing.  That keeps passages common to many texts out of the lists.
+   A list that is still long (texts that are mostly one passage) is entered only by classes of which a wider sketch
+   shares enough values with the other classes of long lists: partners met in such a list are all among those.
 3. Linking in rounds: every class meets the first class of the list it shares most with (linear in the classes);
    confirmed links merge classes into components; then lists that still hold several components give the remaining
    pairs, across components only.  Large groups of near copies are thus merged without their pairs.
 4. Pairs pass the union-sketch estimate and are confirmed by exact Jaccard on the full sets.
 
 Overlap bound.  The k smallest of the union of two linked sets (Jaccard >= s) lie in the intersection with
-probability s each; fewer than MIN_OVERLAP of 48 (mean 36, six deviations) has a probability below 1e-8 a pair; for sets
-smaller than that the bound is exact.  Nothing is capped: every list, class and pair within the bound is used.
+probability s each; fewer than MIN_OVERLAP of 48 (mean 36, six deviations), or WIDE_OVERLAP of 256, has a probability
+below 1e-8 a pair; where the union fits the sketch the bound is exact.  Nothing is capped: every list, class and pair within
+the bounds is used.
 """
 
 from __future__ import annotations
@@ -31,6 +34,11 @@ WORDS = 5
 NUMERATOR, DENOMINATOR = 75, 100
 SKETCH = 48
 MIN_OVERLAP = 18
+#: The same bound for wider sketches: 256 values, mean 192, six deviations.
+WIDE = 256
+WIDE_OVERLAP = 150
+#: A list longer than this admits only classes that pass the bound for wider sketches.
+CROWDED = 64
 ROUNDS = 2
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 
@@ -95,6 +103,14 @@ def sketches(docs: DataFrame, k: int = SKETCH) -> DataFrame:
     return docs.mapInArrow(run, SKETCHED)
 
 
+def wider(batches):
+    """(vid, text) to (vid, n, WIDE smallest shingles)."""
+    for part in sliced(batches):
+        sets = [shingles(t) for t in part.column(1).to_pylist()]
+        h = pa.array([(s[:WIDE] ^ np.uint64(1 << 63)).view(np.int64) for s in sets], pa.list_(pa.int64()))
+        yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), h], names=["vid", "n", "h"])
+
+
 def least_overlap(n):
     return F.least(F.lit(MIN_OVERLAP), F.ceil(n * NUMERATOR / DENOMINATOR).cast("int"))
 
@@ -188,7 +204,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     useful = values.join(shared, "h").groupBy("vid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("vs"))
     useful = useful.where(F.size("vs") >= least_overlap(F.col("n")))
     listed = useful.select("vid", "n", F.slice("vs", F.lit(1), F.size("vs") - least_overlap(F.col("n")) + 1).alias("vs"))
-    listed = written(listed.select("vid", "n", F.col("vs.h").alias("hs")), "listed", folder)
+    crowded = F.exists("vs", lambda x: x["df"] > CROWDED)
+    listed = written(listed.select("vid", "n", F.col("vs.h").alias("hs"), F.transform(F.filter("vs", lambda x: x["df"] <= CROWDED), lambda x: x["h"]).alias("calm"), crowded.alias("crowded")), "listed", folder)
     kept = classes.join(listed.select("vid"), "vid", "left_semi")
     wanted = kept.select("vid", "doc_id", "digest")
 
@@ -199,6 +216,14 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     bodies = texts.join(wanted, "doc_id").select("vid", "text", "digest").mapInArrow(same_set, "vid bigint, text string")
     bodies = written(bodies.dropDuplicates(["vid"]), "texts", folder)
+    # Long lists (a passage in many texts) keep only the classes that a wider sketch allows a partner in such a list.
+    wide = listed.where("crowded").select("vid").join(bodies, "vid").mapInArrow(wider, "vid bigint, n bigint, h array<bigint>")
+    wide = written(wide, "wide", folder)
+    long_values = wide.select("vid", F.explode("h").alias("h"))
+    again = long_values.join(long_values.groupBy("h").agg(F.count("*").alias("df")).where("df > 1").select("h"), "h", "left_semi").groupBy("vid").agg(F.count("*").alias("c"))
+    fit = again.join(wide.select("vid", "n"), "vid").where(F.col("c") >= F.least(F.lit(WIDE_OVERLAP), F.ceil(F.col("n") * NUMERATOR / DENOMINATOR).cast("int")))
+    listed = listed.join(fit.select("vid", F.lit(True).alias("fit")), "vid", "left")
+    listed = written(listed.select("vid", "n", F.when(F.col("crowded") & F.col("fit").isNull(), F.col("calm")).otherwise(F.col("hs")).alias("hs")), "refined", folder)
     marks = written(kept.select("vid", "sketch"), "marks", folder)
 
     def judged(pairs: DataFrame, name: str) -> DataFrame:
