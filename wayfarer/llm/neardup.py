@@ -7,9 +7,10 @@
    as a linked pair cannot avoid sharing.  That keeps passages common to many texts out of the lists.
    A list that is still long (texts that are mostly one passage) is entered only by classes of which a wider sketch
    shares enough values with the other classes of long lists: partners met in such a list are all among those.
-3. Linking in rounds: every class meets the first class of the list it shares most with (linear in the classes);
-   confirmed links merge classes into components; then lists that still hold several components give the remaining
-   pairs, across components only.  Large groups of near copies are thus merged without their pairs.
+3. Linking, first by neighbours: in a few lists every class meets the one that follows it in random order (linear in
+   the classes), and confirmed links make components, which merges large groups of near copies without their pairs.
+   Then, across components only: short lists give their remaining pairs; long ones meet block by block as sets, and only
+   what the wider sketch (the whole set, if it is small) passes becomes a row.
 4. Pairs pass the union-sketch estimate and are confirmed by exact Jaccard on the full sets.
 
 Overlap bound.  The k smallest of the union of two linked sets (Jaccard >= s) lie in the intersection with
@@ -25,7 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh, pick, quoted, shared_dir, sliced, written
@@ -39,7 +40,9 @@ WIDE = 256
 WIDE_OVERLAP = 150
 #: A list longer than this admits only classes that pass the bound for wider sketches.
 CROWDED = 64
-ROUNDS = 2
+#: Lists in which a class meets a neighbour, and rows of a list that are handled together.
+NEIGHBOUR_LISTS = 6
+CELL = 1024
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 
 
@@ -152,6 +155,65 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.select("a", "b").join(a, "a").join(b, "b").select("a", "b", "a_text", "b_text").mapInArrow(run, "a bigint, b bigint")
 
 
+def neighbours(listed: DataFrame) -> DataFrame:
+    """(a, b): in NEIGHBOUR_LISTS lists of each class (those of smallest seeded hash, so that like classes choose alike)
+    the class that follows it in random order.  Linear in the classes, and a large group of like classes becomes one
+    component of it; lists are dealt in cells of about CELL rows."""
+    few = F.slice(F.array_sort(F.transform("vs", lambda x: F.struct(F.xxhash64(F.lit(3), x["h"]).alias("o"), x["h"].alias("h"), x["df"].alias("df")))), 1, NEIGHBOUR_LISTS)
+    rows = listed.select("vid", "n", F.explode(few).alias("v")).select("vid", "n", "v.h", "v.df").withColumn("o", F.xxhash64("h", "vid"))
+    rows = rows.withColumn("cell", F.pmod(F.shiftright("o", 7), F.ceil(F.col("df") / F.lit(float(CELL)))))
+    w = Window.partitionBy("h", "cell").orderBy("o", "vid")
+    rows = rows.withColumn("b", F.lead("vid").over(w)).withColumn("nb", F.lead("n").over(w))
+    met = rows.where(F.col("b").isNotNull() & (F.col("b") != F.col("vid")) & similar_sizes(F.col("n"), F.col("nb")))
+    return met.select(F.least("vid", "b").alias("a"), F.greatest("vid", "b").alias("b")).distinct()
+
+
+def blocked(fit: DataFrame, wide: DataFrame) -> DataFrame:
+    """(a, b): pairs of long lists across components that the wider sketch allows; one for each class and component.
+
+    fit: (vid, n, vs, root); wide: (vid, n, h).  A list of several components is cut into blocks of about CELL classes;
+    two blocks meet in one task, as sets, not as pairs, and what does not pass there is never a row.
+    """
+    rows = fit.select("vid", "n", "root", F.explode("vs").alias("v")).select("vid", "n", "root", F.col("v.h").alias("l"), "v.df")
+    divided = rows.groupBy("l").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("l")
+    rows = rows.join(divided, "l", "left_semi").withColumn("blocks", F.ceil(F.col("df") / F.lit(float(CELL))).cast("int"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("vid"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    rows = rows.join(wide.select("vid", "h"), "vid").select("l", "i", "j", "own", "vid", "n", "root", "h")
+
+    def meet(table: pa.Table) -> pa.Table:
+        vid, n, root = (table.column(c).to_numpy() for c in ("vid", "n", "root"))
+        own, i, j = table.column("own").to_numpy(), table.column("i")[0].as_py(), table.column("j")[0].as_py()
+        sets = table.column("h").combine_chunks()
+        at = np.concatenate([[0], np.cumsum(np.diff(sets.offsets.to_numpy()))])
+        flat = sets.flatten().to_numpy()
+        owner = np.repeat(np.arange(len(vid)), np.diff(at))
+        order = np.argsort(flat, kind="stable")
+        values, first = np.unique(flat[order], return_index=True)
+        ends, members = np.append(first[1:], len(flat)), owner[order]
+        place = np.searchsorted(values, flat)
+        a_out, b_out = [], []
+        for x in range(len(vid)):
+            if own[x] != i:
+                continue
+            lists = [members[first[k] : ends[k]] for k in place[at[x] : at[x + 1]]]
+            common = np.bincount(np.concatenate(lists), minlength=len(vid))
+            small, large = np.minimum(n, n[x]), np.maximum(n, n[x])
+            exact = (large <= WIDE) & (DENOMINATOR * common >= NUMERATOR * (n + n[x] - common))
+            likely = (large > WIDE) & (common >= WIDE_OVERLAP)
+            ok = (root != root[x]) & (own == j) & (small * DENOMINATOR >= large * NUMERATOR) & (exact | likely)
+            # One confirmed partner joins two components; unconfirmed ones all go on to the exact check.
+            hit = np.flatnonzero(ok & exact)
+            _, pick_one = np.unique(root[hit], return_index=True)
+            for y in (*hit[pick_one], *np.flatnonzero(ok & likely)):
+                a_out.append(min(vid[x], vid[y]))
+                b_out.append(max(vid[x], vid[y]))
+        return pa.table({"a": pa.array(a_out, pa.int64()), "b": pa.array(b_out, pa.int64())})
+
+    return rows.groupBy("l", "i", "j").applyInArrow(meet, "a bigint, b bigint").distinct()
+
+
 def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
     """(vid, root) for every vertex of the edges that is not its own root; the root is the smallest of its component.
 
@@ -204,8 +266,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     useful = values.join(shared, "h").groupBy("vid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("vs"))
     useful = useful.where(F.size("vs") >= least_overlap(F.col("n")))
     listed = useful.select("vid", "n", F.slice("vs", F.lit(1), F.size("vs") - least_overlap(F.col("n")) + 1).alias("vs"))
-    crowded = F.exists("vs", lambda x: x["df"] > CROWDED)
-    listed = written(listed.select("vid", "n", F.col("vs.h").alias("hs"), F.transform(F.filter("vs", lambda x: x["df"] <= CROWDED), lambda x: x["h"]).alias("calm"), crowded.alias("crowded")), "listed", folder)
+    listed = written(listed.withColumn("crowded", F.exists("vs", lambda x: x["df"] > CROWDED)), "listed", folder)
     kept = classes.join(listed.select("vid"), "vid", "left_semi")
     wanted = kept.select("vid", "doc_id", "digest")
 
@@ -216,14 +277,17 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     bodies = texts.join(wanted, "doc_id").select("vid", "text", "digest").mapInArrow(same_set, "vid bigint, text string")
     bodies = written(bodies.dropDuplicates(["vid"]), "texts", folder)
-    # Long lists (a passage in many texts) keep only the classes that a wider sketch allows a partner in such a list.
+    # Long lists (a passage in many texts) are entered only by classes that a wider sketch allows a partner there.
     wide = listed.where("crowded").select("vid").join(bodies, "vid").mapInArrow(wider, "vid bigint, n bigint, h array<bigint>")
     wide = written(wide, "wide", folder)
-    long_values = wide.select("vid", F.explode("h").alias("h"))
-    again = long_values.join(long_values.groupBy("h").agg(F.count("*").alias("df")).where("df > 1").select("h"), "h", "left_semi").groupBy("vid").agg(F.count("*").alias("c"))
-    fit = again.join(wide.select("vid", "n"), "vid").where(F.col("c") >= F.least(F.lit(WIDE_OVERLAP), F.ceil(F.col("n") * NUMERATOR / DENOMINATOR).cast("int")))
-    listed = listed.join(fit.select("vid", F.lit(True).alias("fit")), "vid", "left")
-    listed = written(listed.select("vid", "n", F.when(F.col("crowded") & F.col("fit").isNull(), F.col("calm")).otherwise(F.col("hs")).alias("hs")), "refined", folder)
+    bound = F.least(F.lit(WIDE_OVERLAP), F.ceil(F.col("n") * NUMERATOR / DENOMINATOR).cast("int"))
+    each = wide.select("vid", "n", F.explode("h").alias("h"))
+    again = each.join(each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "h").groupBy("vid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("vs"))
+    fit = again.where(F.size("vs") >= bound).select("vid", "n", F.slice("vs", F.lit(1), F.size("vs") - bound + 1).alias("vs"))
+    fit = written(fit, "fit", folder)
+    calm = F.filter("vs", lambda x: x["df"] <= CROWDED)
+    flagged = listed.join(fit.select("vid", F.lit(True).alias("fit")), "vid", "left")
+    listed = written(flagged.select("vid", "n", F.when(F.col("crowded") & F.col("fit").isNull(), calm).otherwise(F.col("vs")).alias("vs"), calm.alias("calm")), "refined", folder)
     marks = written(kept.select("vid", "sketch"), "marks", folder)
 
     def judged(pairs: DataFrame, name: str) -> DataFrame:
@@ -231,29 +295,20 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         likely = pairs.join(a, "a").join(b, "b").where(estimate_passes(F.col("sa"), F.col("sb"))).select("a", "b")
         return confirmed(written(likely, f"{name}-likely", folder), bodies)
 
-    lists = listed.select("vid", "n", F.explode("hs").alias("h"))
-    roots = None
-    links = None
-    for turn in range(1, ROUNDS + 2):
-        own = lists if roots is None else lists.join(roots, "vid", "left")
-        own = own.withColumn("root", F.col("vid")) if roots is None else own.withColumn("root", F.coalesce("root", "vid"))
-        open_lists = own.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min(F.struct(F.xxhash64(F.lit(turn), "root").alias("o"), F.xxhash64(F.lit(turn), "vid").alias("x"), "vid", "root", "n")).alias("hub")).where("lo <> hi")
-        if turn <= ROUNDS:
-            met = own.join(open_lists.select("h", "hub"), "h").where((F.col("root") != F.col("hub.root")) & similar_sizes(F.col("n"), F.col("hub.n")))
-            met = met.groupBy("vid", F.col("hub.vid").alias("b")).agg(F.count("*").alias("c")).groupBy("vid").agg(F.max(F.struct("c", "b")).alias("m"))
-            pairs = met.select(F.col("vid").alias("a"), F.col("m.b").alias("b"))
-        else:
-            rest = written(own.join(open_lists.select("h"), "h", "left_semi"), "rest", folder)
-            x = rest.select("h", F.col("vid").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
-            y = rest.select("h", F.col("vid").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
-            pairs = x.join(y, "h").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & similar_sizes(F.col("na"), F.col("nb"))).select("a", "b").distinct()
-        found = judged(pairs, f"round-{turn}")
-        if roots is not None:
-            for end in ("a", "b"):
-                found = found.join(roots.select(F.col("vid").alias(end), F.col("root").alias("to")), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
-        links = written(found if links is None else found.select("a", "b").union(links), f"links-{turn}", folder)
-        roots = components(links, folder, f"cc-{turn}")
-        links = links if turn > ROUNDS else roots.select(F.col("vid").alias("a"), F.col("root").alias("b"))
+    links = written(judged(neighbours(listed), "near"), "links-near", folder)
+    roots = components(links, folder, "cc-near")
+    rooted = lambda df: df.join(roots, "vid", "left").withColumn("root", F.coalesce("root", "vid"))
+    rest = rooted(listed.select("vid", "n", F.explode("calm.h").alias("h")))
+    divided = rest.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
+    rest = written(rest.join(divided, "h", "left_semi"), "rest", folder)
+    x = rest.select("h", F.col("vid").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
+    y = rest.select("h", F.col("vid").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
+    pairs = x.join(y, "h").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & similar_sizes(F.col("na"), F.col("nb"))).select("a", "b").distinct()
+    found = judged(pairs, "calm").unionByName(judged(blocked(rooted(fit), wide), "long"))
+    for end in ("a", "b"):
+        found = found.join(roots.select(F.col("vid").alias(end), F.col("root").alias("to")), end, "left").withColumn(end, F.coalesce("to", end)).drop("to")
+    links = found.select("a", "b").unionByName(roots.select(F.col("vid").alias("a"), F.col("root").alias("b")))
+    roots = components(links, folder, "cc-all")
     named = classes.select("digest", "doc_id", "vid").join(roots, "vid", "left").withColumn("root", F.coalesce("root", "vid"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return sketched.select("doc_id", "n", "digest"), written(named.join(least, "root").select("digest", "component_id"), "components", folder)
