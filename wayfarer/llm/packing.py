@@ -8,15 +8,18 @@ cuts them at multiples of the window, with one boundary record per piece.  Only
 
 from __future__ import annotations
 
+import json
 import zlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .bpe import encoder
+from .bpe import PATTERN, byte_letters
 from .common import pick, shared_dir, sliced, written
 
 #: Partition starts (12 bytes each) are broadcast up to this many input splits, and joined by shuffle beyond.
@@ -28,17 +31,33 @@ PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_toke
 _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 
+@lru_cache(maxsize=2)
+def tokenizer(path: str) -> tuple[tiktoken.Encoding, int]:
+    """The vocabulary file as a compiled tokenizer (one per Python worker), and its number of ids."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    letters = byte_letters()
+    ranks = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items()}
+    special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+    ranks = {b: i for b, i in ranks.items() if i not in special.values()}
+    return tiktoken.Encoding("packed", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special), max([*ranks.values(), *special.values()]) + 1
+
+
+def token_ids(path: str, text: str | None) -> np.ndarray:
+    """Ids of the whole text; special tokens in it count as such."""
+    return tokenizer(path)[0].encode_to_numpy(text, allowed_special="all") if text else np.zeros(0, np.uint32)
+
+
 def encoded(docs: DataFrame, vocabulary: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
     """Pass one.  ids are little-endian unsigned 16- or 32-bit numbers, whichever the vocabulary needs."""
 
     def run(batches):
-        enc = encoder(vocabulary)
-        kind = "<u2" if max(len(enc.names), end_id + 1) <= 1 << 16 else "<u4"
+        kind = "<u2" if max(tokenizer(vocabulary)[1], end_id + 1) <= 1 << 16 else "<u4"
         part, local = TaskContext.get().partitionId(), 0
         for batch in sliced(batches):
             keys, rows = batch.column(0), []
             for text in batch.column(1).to_pylist():
-                ids = np.array([*enc.encode(text), end_id], dtype=kind)
+                ids = np.append(token_ids(vocabulary, text), end_id).astype(kind)
                 rows.append((part, local, len(ids), ids.tobytes()))
                 local += len(ids)
             yield pa.RecordBatch.from_arrays([keys.cast(pa.int64()), *(pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), list(_STAGED)[1:], strict=True))], schema=_STAGED)
