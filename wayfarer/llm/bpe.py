@@ -33,7 +33,7 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 
 DEAD = -1
 #: Entries of one generation of a cache; two generations are held.
-CACHE_ENTRIES = 150_000
+CACHE_ENTRIES = 300_000
 #: Bytes by which the tokens that may come next are remembered.
 WINDOW = 8
 
@@ -208,17 +208,18 @@ class TokenAutomaton:
 
 
 class TwoGenerations:
-    """A bounded cache that keeps what is used: full, the young entries become the old ones, and hits bring them back."""
+    """A bounded cache that keeps what is used: full, the young entries become the old ones, and hits bring them back.
+    Values are tuples of numbers, which the garbage collector need not watch."""
 
     def __init__(self):
-        self.young: dict[str, list[int]] = {}
-        self.old: dict[str, list[int]] = {}
+        self.young: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, tuple[int, ...]] = {}
 
-    def older(self, key: str) -> list[int] | None:
+    def older(self, key: str) -> tuple[int, ...] | None:
         found = self.old.get(key)
         return self.put(key, found) if found else None
 
-    def put(self, key: str, value: list[int]) -> list[int]:
+    def put(self, key: str, value: tuple[int, ...]) -> tuple[int, ...]:
         if len(self.young) >= CACHE_ENTRIES:
             self.old, self.young = self.young, {}
         self.young[key] = value
@@ -240,15 +241,15 @@ class Encoder:
         self.runs = regex.compile(r"\s (?:\s|\Z)").search
         self.names = [str(i) for i in range(len(self.automaton.labels))]
 
-    def word(self, text: str) -> list[int]:
+    def word(self, text: str) -> tuple[int, ...]:
         found = self.words.young.get(text) or self.words.older(text)
-        return found or self.words.put(text, self.automaton.encode_word(text.encode("utf-8", "surrogatepass")))
+        return found or self.words.put(text, tuple(self.automaton.encode_word(text.encode("utf-8", "surrogatepass"))))
 
-    def _chunk(self, text: str) -> list[int]:
+    def _chunk(self, text: str) -> tuple[int, ...]:
         found = self.chunks.older(text)
         if found:
             return found
-        found = [i for w in self.split(text) for i in self.word(w)]
+        found = tuple([i for w in self.split(text) for i in self.word(w)])
         return self.chunks.put(text, found) if len(text) <= 40 else found
 
     def _plain(self, text: str) -> list[int]:
