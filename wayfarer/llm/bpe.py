@@ -226,6 +226,23 @@ class TwoGenerations:
         return value
 
 
+class Chunks(dict):
+    """Ids of a space and the part that follows it, by the part: a bounded cache of two generations that fills itself."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, part: str) -> tuple[int, ...]:
+        found = self.old.get(part) or self.make(" " + part)
+        if len(part) < 40:
+            if len(self) >= CACHE_ENTRIES:
+                self.old = dict(self)
+                self.clear()
+            self[part] = found
+        return found
+
+
 class Encoder:
     """Whole texts: special tokens, pre-splitting, and a bounded cache from chunks to their ids."""
 
@@ -234,7 +251,7 @@ class Encoder:
             spec = json.load(f)
         special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.automaton = TokenAutomaton(spec["model"]["vocab"], spec["model"]["merges"], special)
-        self.words, self.chunks = TwoGenerations(), TwoGenerations()
+        self.words, self.chunks = TwoGenerations(), Chunks(self._split)
         self.split = regex.compile(PATTERN).findall
         self.marks = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
         # A boundary before a single space is one of the pattern's own, unless that space lies inside or ends a run.
@@ -245,23 +262,15 @@ class Encoder:
         found = self.words.young.get(text) or self.words.older(text)
         return found or self.words.put(text, tuple(self.automaton.encode_word(text.encode("utf-8", "surrogatepass"))))
 
-    def _chunk(self, text: str) -> tuple[int, ...]:
-        found = self.chunks.older(text)
-        if found:
-            return found
-        found = tuple([i for w in self.split(text) for i in self.word(w)])
-        return self.chunks.put(text, found) if len(text) <= 40 else found
+    def _split(self, text: str) -> tuple[int, ...]:
+        return tuple([i for w in self.split(text) for i in self.word(w)])
 
     def _plain(self, text: str) -> list[int]:
         if ("  " in text or "\n " in text or text.endswith(" ") or not text.isascii()) and self.runs(text):
             return [i for w in self.split(text) for i in self.word(w)]
         head, *rest = text.split(" ")
-        make, out = self._chunk, []
-        if head:
-            out += make(head)
-        for part in rest:
-            part = " " + part
-            out += self.chunks.young.get(part) or make(part)
+        out = list(self._split(head))
+        out.extend(chain.from_iterable(map(self.chunks.__getitem__, rest)))
         return out
 
     def encode(self, text: str | None) -> list[int]:
