@@ -5,12 +5,12 @@
 2. Inverted lists of retained values: values held by one class only are useless; a class whose sketch has fewer
    shared values than any linked pair must overlap in is out; of the others only the rarest values are listed, as many
    as a linked pair cannot avoid sharing.  That keeps passages common to many texts out of the lists.
-   A list that is still long (texts that are mostly one passage) is entered only by classes of which a wider sketch
-   shares enough values with the other classes of long lists: partners met in such a list are all among those.
 3. Linking, first by neighbours: in a few lists every class meets the one that follows it in random order (linear in
    the classes), and confirmed links make components, which merges large groups of near copies without their pairs.
-   Then, across components only: short lists give their remaining pairs; long ones meet block by block as sets, and only
-   what the wider sketch (the whole set, if it is small) passes becomes a row.
+   Then, across components only: short lists give their remaining pairs.  A long list of several components (texts that
+   are mostly one passage) is entered only by classes of which a wider sketch shares enough values with other components
+   of long lists: partners met in such a list are all among those.  They meet block by block as sets, and only what the
+   wider sketch (the whole set, if it is small) passes becomes a row.
 4. Pairs pass the union-sketch estimate and are confirmed by exact Jaccard on the full sets.
 
 Overlap bound.  The k smallest of the union of two linked sets (Jaccard >= s) lie in the intersection with
@@ -118,6 +118,12 @@ def least_overlap(n):
     return F.least(F.lit(MIN_OVERLAP), F.ceil(n * NUMERATOR / DENOMINATOR).cast("int"))
 
 
+def several(rows: DataFrame) -> DataFrame:
+    """(h, df) of the values of (h, root) rows that are found in more than one component."""
+    counts = rows.groupBy("h").agg(F.count("*").alias("df"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+    return counts.where("lo <> hi").select("h", "df")
+
+
 def similar_sizes(a, b):
     """Sizes that allow the similarity at all."""
     return (F.least(a, b) * DENOMINATOR) >= (F.greatest(a, b) * NUMERATOR)
@@ -277,17 +283,6 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     bodies = texts.join(wanted, "doc_id").select("vid", "text", "digest").mapInArrow(same_set, "vid bigint, text string")
     bodies = written(bodies.dropDuplicates(["vid"]), "texts", folder)
-    # Long lists (a passage in many texts) are entered only by classes that a wider sketch allows a partner there.
-    wide = listed.where("crowded").select("vid").join(bodies, "vid").mapInArrow(wider, "vid bigint, n bigint, h array<bigint>")
-    wide = written(wide, "wide", folder)
-    bound = F.least(F.lit(WIDE_OVERLAP), F.ceil(F.col("n") * NUMERATOR / DENOMINATOR).cast("int"))
-    each = wide.select("vid", "n", F.explode("h").alias("h"))
-    again = each.join(each.groupBy("h").agg(F.count("*").alias("df")).where("df > 1"), "h").groupBy("vid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("vs"))
-    fit = again.where(F.size("vs") >= bound).select("vid", "n", F.slice("vs", F.lit(1), F.size("vs") - bound + 1).alias("vs"))
-    fit = written(fit, "fit", folder)
-    calm = F.filter("vs", lambda x: x["df"] <= CROWDED)
-    flagged = listed.join(fit.select("vid", F.lit(True).alias("fit")), "vid", "left")
-    listed = written(flagged.select("vid", "n", F.when(F.col("crowded") & F.col("fit").isNull(), calm).otherwise(F.col("vs")).alias("vs"), calm.alias("calm")), "refined", folder)
     marks = written(kept.select("vid", "sketch"), "marks", folder)
 
     def judged(pairs: DataFrame, name: str) -> DataFrame:
@@ -298,9 +293,20 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = written(judged(neighbours(listed), "near"), "links-near", folder)
     roots = components(links, folder, "cc-near")
     rooted = lambda df: df.join(roots, "vid", "left").withColumn("root", F.coalesce("root", "vid"))
-    rest = rooted(listed.select("vid", "n", F.explode("calm.h").alias("h")))
-    divided = rest.groupBy("h").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("h")
-    rest = written(rest.join(divided, "h", "left_semi"), "rest", folder)
+    # Long lists (a passage in many texts) that still hold several components are entered only by classes that a wider
+    # sketch allows a partner there: values found in several components count.  Lists of one component have no more to link.
+    long = rooted(listed.where("crowded")).select("vid", "root", F.explode(F.filter("vs", lambda x: x["df"] > CROWDED)["h"]).alias("h"))
+    long = written(long, "long", folder)
+    wide = long.join(several(long), "h", "left_semi").select("vid").distinct().join(bodies, "vid").mapInArrow(wider, "vid bigint, n bigint, h array<bigint>")
+    wide = written(wide, "wide", folder)
+    bound = F.least(F.lit(WIDE_OVERLAP), F.ceil(F.col("n") * NUMERATOR / DENOMINATOR).cast("int"))
+    # Dealt anew by class: files of the table may be packed unevenly, and each class makes up to WIDE rows.
+    each = rooted(wide).repartition("vid").select("vid", "n", "root", F.explode("h").alias("h"))
+    again = each.join(several(each), "h").groupBy("vid", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("vs"))
+    fit = again.where(F.size("vs") >= bound).select("vid", "n", F.slice("vs", F.lit(1), F.size("vs") - bound + 1).alias("vs"))
+    fit = written(fit, "fit", folder)
+    rest = rooted(listed).select("vid", "n", "root", F.explode(F.filter("vs", lambda x: x["df"] <= CROWDED)["h"]).alias("h"))
+    rest = written(rest.join(several(rest), "h", "left_semi"), "rest", folder)
     x = rest.select("h", F.col("vid").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"))
     y = rest.select("h", F.col("vid").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"))
     pairs = x.join(y, "h").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & similar_sizes(F.col("na"), F.col("nb"))).select("a", "b").distinct()
