@@ -255,6 +255,20 @@ def test_wrappers(spark, none):
     assert wrappers.extract(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
+def test_wrappers_align_all_pages_and_match(spark):
+    first = "<html><body><article><p>story %d</p></article></body></html>"
+    second = '<html><body><article></article><div class="box"><main><p>goods %d</p></main></div></body></html>'
+    pages = [(i, "http://h.example/", (second if i % 8 == 7 else first) % i) for i in range(40)]
+    frame = spark.createDataFrame(pages, "page_id bigint, url string, html string").repartition(4)
+    rule = wrappers.host_wrappers(frame).head()
+    assert rule["pages"] == 40 and sorted(p[-1] for p in rule["regions"]) == ["article", "main"]
+    found = {r["page_id"]: r["text"] for r in wrappers.extract(frame).collect()}
+    assert found == {i: f"goods {i}" if i % 8 == 7 else f"story {i}" for i in range(40)}
+    strange = "<html><body><article></article><section><article><p>other</p></article></section></body></html>"
+    assert not wrappers.described(wrappers.parse(strange), wrappers.read_rules(rule["rules"]))
+    assert wrappers.main_text(strange, wrappers.read_rules(rule["rules"])) == "other"
+
+
 def test_pipeline(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:

@@ -1,29 +1,44 @@
 """Main text of web pages by union-free regular expressions inferred for each host.
 
-Pages of a host come from a few templates.  A bounded sample of a host's pages is aligned, one token stream after
-another: tags that agree advance together, texts that differ become slots, siblings that recur become repeated groups
-(+), and what only one side has becomes an optional group (?).  The result is a wrapper without unions, as
-``<body> <nav> … <article> <h1> #text </h1> ( <p> #text </p> )+ </article> …``.  The element under which the slots of
-running text lie, outside of menus, adverts and the like, is the host's content region; all pages are then read whole
-through it.  A page that the wrapper does not describe is read through a wrapper inferred from itself.
+Pages of a host come from a few templates.  All pages of a host are aligned: tags that agree advance together, texts that
+differ become slots, siblings that recur become repeated groups (+), and what only one side has becomes an optional group
+(?).  Pages of one tag structure are merged first, which is associative and commutative, in the tasks that read them; one
+skeleton per distinct structure is left, and these are aligned in the order of their digests, in cells and then over the
+cells, so the wrapper depends on the pages alone and no task sees the pages of a host.  The result is a wrapper without
+unions, as ``<body> <nav> … <article> <h1> #text </h1> ( <p> #text </p> )+ </article> …``; a template that only some pages
+have is an optional group of it, with a content region of its own.
+
+Each page is matched against its host's wrapper and read through it.  A page that the wrapper does not describe (its tags
+are no word of the expression) is read through a wrapper inferred from itself.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as htmllib
+import json
 import re
+from bisect import bisect_left
+from collections import Counter
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pick, shared_dir, sliced, written
+from .common import SLICE_ROWS, pick, shared_dir, sliced, written
 
-SAMPLE_PAGES = 12
-BROADCAST_HOSTS = 50_000
-MAX_SAMPLE_TOKENS = 20_000
+BROADCAST_BYTES = 16 << 20
+#: Skeletons held by a task before they are passed on, cells of a host's structures, characters of a text kept for show.
+HELD, CELLS, SHOWN = 500, 1024, 200
+#: Deeper elements become siblings, as in browsers; their text stays.
+MAX_DEPTH = 200
+#: An alignment over more cells than this anchors on labels that are unique on both sides first.
+LCS_CELLS = 250_000
+#: Text counts as constant over a host when so many pages have it.
+SEEN = 3
 
 # Element names of the HTML standard.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -39,11 +54,16 @@ HEADER_NAME = re.compile(r"(?:^|[\s_-])(?:header|topbar)(?:$|[\s_-])", re.I)
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(script|style|template|noscript|textarea|title|iframe|svg|math|object)\b((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>.*?(?:</\1\s*>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S | re.I)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 SPACE = re.compile(r"\s+")
+#: Numbers in names, as of posts and parts, are no part of a template.
+DIGITS = re.compile(r"\d+")
 
 
-@dataclass
+@dataclass(slots=True)
 class Node:
-    """An element of a page, or of a wrapper: count is '', '?', '+' or '*'.  Text nodes have no tag; a slot has text None."""
+    """An element of a page, or of a wrapper: count is '', '?', '+' or '*'.  Text nodes have no tag.
+
+    Wrapper text: size over all pages, pages n, and mark, the digest of a text that all of them share (a slot has None).
+    """
 
     tag: str
     name: str = ""
@@ -51,6 +71,10 @@ class Node:
     count: str = ""
     size: int = 0
     children: list[Node] = field(default_factory=list)
+    mark: int | None = None
+    n: int = 1
+    flags: int = 0
+    rule: Node | None = None
 
     @property
     def label(self) -> str:
@@ -97,11 +121,9 @@ def parse(source: str) -> Node:
             if tag in SIBLINGS:
                 close(*SIBLINGS[tag])
             name = " ".join(a or b or c for _, a, b, c in ATTRIBUTE.findall(attrs)) if attrs else ""
-            node = Node(tag, htmllib.unescape(name))
+            node = Node(tag, DIGITS.sub("#", htmllib.unescape(name)))
             stack[-1].children.append(node)
-            if tag not in VOID and not attrs.endswith("/"):
-                stack.append(node)
-            elif tag not in VOID and tag in BLOCK:
+            if tag not in VOID and (tag in BLOCK or not attrs.endswith("/")) and len(stack) < MAX_DEPTH:
                 stack.append(node)
     return root
 
@@ -109,72 +131,133 @@ def parse(source: str) -> Node:
 # --- inference ----------------------------------------------------------------------------------------------
 
 
+def digest(*parts: object) -> int:
+    return int.from_bytes(hashlib.blake2b(repr(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
+def said(node: Node) -> str:
+    """The text of a text node, white space reduced; empty for blanks."""
+    return SPACE.sub(" ", node.text or "").strip()
+
+
 def fold(node: Node) -> Node:
     """A page's element as a wrapper element: neighbours of one label become one repeated group."""
     out: list[Node] = []
     for child in node.children:
         if child.tag == "":
-            text = SPACE.sub(" ", child.text or "").strip()
+            text = said(child)
             if text:
-                out.append(Node("", text=text, size=len(text)))
+                out.append(Node("", text=text if len(text) <= SHOWN else None, size=len(text), mark=digest(text)))
             continue
         folded = fold(child)
         if out and out[-1].tag and out[-1].label == folded.label:
             last = out[-1]
-            out[-1] = Node(last.tag, last.name, None, "+", 0, align(last.children, folded.children))
+            out[-1] = Node(last.tag, last.name, None, "+", 0, align(last.children, folded.children, False))
         else:
             out.append(folded)
     return Node(node.tag, node.name, None, "", 0, out)
 
 
 def optional(node: Node) -> Node:
-    return Node(node.tag, node.name, node.text, {"": "?", "+": "*"}.get(node.count, node.count), node.size, node.children)
+    return Node(node.tag, node.name, node.text, {"": "?", "+": "*"}.get(node.count, node.count), node.size, node.children, node.mark, node.n)
 
 
-def merge(a: Node, b: Node) -> Node:
+def merge(a: Node, b: Node, pages: bool = True) -> Node:
+    """Two elements as one: of different pages, or (pages false) of one page, whose texts then follow each other."""
     many = "+" in a.count + b.count or "*" in a.count + b.count
     maybe = "?" in a.count + b.count or "*" in a.count + b.count
     count = "*" if many and maybe else "+" if many else "?" if maybe else ""
     if a.tag == "":
-        return Node("", text=a.text if a.text == b.text else None, count=count, size=a.size + b.size)
-    return Node(a.tag, a.name, None, count, 0, align(a.children, b.children))
+        same = a.mark is not None and a.mark == b.mark
+        mark = (a.mark if same else None) if pages else None if a.mark is None or b.mark is None else digest(a.mark, b.mark)
+        return Node("", text=a.text if a.text == b.text else None, count=count, size=a.size + b.size, mark=mark, n=a.n + b.n if pages else max(a.n, b.n))
+    return Node(a.tag, a.name, None, count, 0, align(a.children, b.children, pages))
+
+
+def common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Positions of a common subsequence: the longest, or for long lists one through the labels unique on both sides."""
+    if len(a) * len(b) > LCS_CELLS:
+        seen_a, seen_b = Counter(a), Counter(b)
+        at = {x: j for j, x in enumerate(b) if seen_b[x] == 1}
+        pairs = [(i, at[x]) for i, x in enumerate(a) if seen_a[x] == 1 and x in at]
+        ends: list[int] = []
+        tops: list[int] = []
+        back: list[int] = []
+        for k, (_, j) in enumerate(pairs):
+            where = bisect_left(ends, j)
+            ends[where : where + 1] = [j]
+            tops[where : where + 1] = [k]
+            back.append(tops[where - 1] if where else -1)
+        chain: list[tuple[int, int]] = []
+        k = tops[-1] if tops else -1
+        while k >= 0:
+            chain.append(pairs[k])
+            k = back[k]
+        out: list[tuple[int, int]] = []
+        i = j = 0
+        for x, y in [*reversed(chain), (len(a), len(b))]:
+            if (x - i) * (y - j) <= LCS_CELLS:
+                out += [(i + p, j + q) for p, q in common(a[i:x], b[j:y])]
+            if x < len(a):
+                out.append((x, y))
+            i, j = x + 1, y + 1
+        return out
+    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            best[i][j] = best[i + 1][j + 1] + 1 if a[i] == b[j] else max(best[i + 1][j], best[i][j + 1])
+    out = []
+    i = j = 0
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            out.append((i, j))
+            i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
 
 
-def align(a: list[Node], b: list[Node]) -> list[Node]:
+def align(a: list[Node], b: list[Node], pages: bool = True) -> list[Node]:
     """Two token streams of one element as one: mismatches become slots, optional or repeated groups."""
     if not a or not b:
         return [optional(x) for x in a or b]
     labels_a, labels_b = [x.label for x in a], [x.label for x in b]
     if labels_a == labels_b:
-        return [merge(x, y) for x, y in zip(a, b, strict=True)]
-    # Longest common subsequence of labels; where lists are long, common ends go first.
-    best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        for j in range(len(b) - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if labels_a[i] == labels_b[j] else max(best[i + 1][j], best[i][j + 1])
+        return [merge(x, y, pages) for x, y in zip(a, b, strict=True)]
     out: list[Node] = []
     i = j = 0
-    while i < len(a) or j < len(b):
-        if i < len(a) and j < len(b) and labels_a[i] == labels_b[j]:
-            out.append(merge(a[i], b[j]))
-            i, j = i + 1, j + 1
-        elif j >= len(b) or i < len(a) and best[i + 1][j] >= best[i][j + 1]:
-            out.append(optional(a[i]))
-            i += 1
-        else:
-            out.append(optional(b[j]))
-            j += 1
+    for x, y in [*common(labels_a, labels_b), (len(a), len(b))]:
+        out += map(optional, a[i:x])
+        out += map(optional, b[j:y])
+        if x < len(a):
+            out.append(merge(a[x], b[y], pages))
+        i, j = x + 1, y + 1
     # A group that an alignment has put beside one of its own label is a repetition of it.
     joined: list[Node] = []
     for x in out:
         if joined and x.tag and joined[-1].label == x.label:
-            y = merge(joined[-1], x)
+            y = merge(joined[-1], x, pages)
             joined[-1] = Node(y.tag, y.name, None, "*" if y.count in ("?", "*") else "+", 0, y.children)
         else:
             joined.append(x)
     return joined
 
 
+def structure(node: Node) -> str:
+    return f"{node.label}{node.count}({' '.join(map(structure, node.children))})"
+
+
+def packed(node: Node) -> list:
+    return [node.tag, node.name, node.text, node.count, node.size, node.mark, node.n, node.flags, [packed(c) for c in node.children]]
+
+
+def unpacked(row: list) -> Node:
+    tag, name, text, count, size, mark, n, flags, children = row
+    return Node(tag, name, text, count, size, [unpacked(c) for c in children], mark, n, flags)
+
+
 def infer(pages: list[str]) -> Node | None:
     wrapper = None
     for source in pages:
@@ -186,8 +269,8 @@ def infer(pages: list[str]) -> Node | None:
 def expression(node: Node) -> str:
     """The wrapper as a regular expression over tokens."""
     if node.tag == "":
-        said = "#text" if node.text is None else repr(node.text)
-        return f"( {said} ){node.count}" if node.count else said
+        shown = "#text" if node.mark is None else repr(node.text) if node.text is not None else f"#text={node.mark:x}"
+        return f"( {shown} ){node.count}" if node.count else shown
     body = " ".join([f"<{node.label}>", *map(expression, node.children), *([] if node.tag in VOID else [f"</{node.tag}>"])]) if node.tag != "#root" else " ".join(map(expression, node.children))
     return f"( {body} ){node.count}" if node.count else body
 
@@ -195,52 +278,92 @@ def expression(node: Node) -> str:
 def weight(node: Node) -> int:
     """Characters of running text below, without chrome and links; text that differs between pages counts most."""
     if node.tag == "":
-        return node.size * (4 if node.text is None else 1)
+        return node.size * (4 if node.mark is None else 1)
     if node.chrome or node.tag == "a" or node.tag == "header" or HEADER_NAME.search(node.name):
         return 0
     return sum(map(weight, node.children))
 
 
-def region(wrapper: Node | None) -> list[str]:
-    """Labels from the root to the element that holds the running text: an article or main element if there is one
-    with text, else the lowest that holds nine tenths of the weight."""
-    if wrapper is None:
-        return []
-    path: list[str] = []
+REGION = 1
 
-    def marked(node: Node, trail: list[str]) -> tuple[int, list[str]] | None:
-        found = None
+
+def regions(wrapper: Node) -> list[tuple[list[str], Node]]:
+    """(labels from the root, element) of the elements that hold the running text: the article and main elements with text,
+    in every template, else the lowest element that holds nine tenths of the weight."""
+    found: list[tuple[list[str], Node]] = []
+
+    def marked(node: Node, trail: list[str]) -> None:
         for child in node.children:
             if child.tag and not child.chrome and child.tag != "header":
                 here = [*trail, child.label]
-                mine = (weight(child), here) if child.tag in ("article", "main") or re.search(r"role=?main", child.name) else None
-                deeper = marked(child, here)
-                mine = deeper if mine and mine[0] and deeper and deeper[0] * 10 >= mine[0] * 9 else mine or deeper
-                if mine and mine[0] and (found is None or mine[0] > found[0]):
-                    found = mine
-        return found
+                if (child.tag in ("article", "main") or re.search(r"role=?main", child.name)) and weight(child):
+                    found.append((here, child))
+                else:
+                    marked(child, here)
 
-    best = marked(wrapper, [])
-    if best:
-        return best[1]
+    marked(wrapper, [])
+    if found:
+        return found
+    path: list[str] = []
     node = wrapper
     while True:
         total = weight(node)
         below = max((c for c in node.children if c.tag in BLOCK), key=weight, default=None)
         if below is None or not total or weight(below) * 10 < total * 9 or below.tag in ("p", "li", "td", "h1", "h2", "pre", "blockquote"):
-            return path
+            return [(path, node)]
         path.append(below.label)
         node = below
 
 
+def ruled(wrapper: Node) -> Node:
+    """The wrapper with its content regions flagged."""
+    for _, node in regions(wrapper):
+        node.flags |= REGION
+    return wrapper
+
+
 # --- extraction ---------------------------------------------------------------------------------------------
 
 
-def find(node: Node, path: list[str]) -> list[Node]:
-    nodes = [node]
-    for label in path:
-        nodes = [c for n in nodes for c in n.children if c.tag and c.label == label]
-    return nodes
+def places(labels: list[str], parts: list[Node]) -> list[int] | None:
+    """The part of the wrapper that each label of a page's token stream is read by; None if the expression does not match."""
+    # The chains of positions that the expression can be in after each label, as linked lists.
+    states: dict[int, tuple | None] = {-1: None}
+    for label in labels:
+        after: dict[int, tuple | None] = {}
+        for j, chain in states.items():
+            if j >= 0 and parts[j].count in ("+", "*") and parts[j].label == label:
+                after.setdefault(j, (j, chain))
+            for k in range(j + 1, len(parts)):
+                if parts[k].label == label:
+                    after.setdefault(k, (k, chain))
+                if parts[k].count not in ("?", "*"):
+                    break
+        if not after:
+            return None
+        states = after
+    for j, chain in states.items():
+        if all(p.count in ("?", "*") for p in parts[j + 1 :]):
+            out = []
+            while chain is not None:
+                out.append(chain[0])
+                chain = chain[1]
+            return out[::-1]
+    return None
+
+
+def described(page: Node, wrapper: Node) -> bool:
+    """Match the page's tags against the wrapper; each element then knows the part of the wrapper that it is read by."""
+    page.rule = wrapper
+    stream = [c for c in page.children if c.tag or said(c)]
+    where = places([c.label for c in stream], wrapper.children)
+    return where is not None and all(not c.tag or described(c, wrapper.children[j]) for c, j in zip(stream, where, strict=True))
+
+
+def content(node: Node) -> list[Node]:
+    if node.rule.flags & REGION:
+        return [node]
+    return [n for c in node.children if c.tag for n in content(c)]
 
 
 def blocks(node: Node) -> list[str]:
@@ -273,43 +396,79 @@ def blocks(node: Node) -> list[str]:
     return out
 
 
-def main_text(source: str | None, path: list[str] | None) -> str:
+def main_text(source: str | None, wrapper: Node | None) -> str:
     if not source:
         return ""
     page = parse(source)
-    nodes = find(page, path) if path else []
-    if not nodes:
-        nodes = find(page, region(fold(page)))
-    return "\n".join(t for n in nodes for t in blocks(n))
+    if wrapper is None or not described(page, wrapper):
+        described(page, ruled(fold(page)))
+    return "\n".join(t for n in content(page) for t in blocks(n))
+
 
+@lru_cache(maxsize=64)
+def read_rules(rules: str | None) -> Node | None:
+    return unpacked(json.loads(rules)) if rules else None
 
-WRAPPERS = "host string, pages int, path array<string>, wrapper string"
+
+#: path: labels from the root to the first content region; regions: those of all; rules: the wrapper with its regions, as JSON.
+WRAPPERS = "host string, pages bigint, path array<string>, regions array<array<string>>, wrapper string, rules string"
+_SKELETONS = pa.schema([("host", pa.string()), ("cell", pa.int32()), ("structure", pa.int64()), ("pages", pa.int64()), ("skeleton", pa.string())])
+SKELETONS = "host string, cell int, structure bigint, pages bigint, skeleton string"
 
 
 def host_of(url):
     return F.coalesce(F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
-def host_wrappers(pages: DataFrame, sample: int = SAMPLE_PAGES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, pages aligned, path of the content region, wrapper), one row per host.
+def aligned(group: pd.DataFrame) -> tuple[int, Node, int]:
+    """All skeletons of a group as one: equal structures first, then the structures in the order of their digests."""
+    whole = None
+    for _, same in group.groupby("structure", sort=True):
+        one = None
+        for text in same["skeleton"]:
+            one = unpacked(json.loads(text)) if one is None else merge(one, unpacked(json.loads(text)))
+        whole = one if whole is None else merge(whole, one)
+    return int(group["structure"].min()), whole, int(group["pages"].sum())
+
+
+def host_wrappers(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(host, pages aligned, path, regions, wrapper, rules), one row per host, over all its pages with html.
 
-    Each host is read in ``sample`` hash cells, and the page of smallest hash in each cell is aligned: a pre-aggregated
-    minimum, so no task sees a host whole.  Pages without html bring nothing.
+    A task merges the pages of one host and structure as it reads them and passes on skeletons, without texts above SHOWN
+    characters; the structures of a host are aligned in CELLS cells, and then the cells.
     """
-    rows = pick(pages, page_id=id_col, url=url_col, html=html_col).where(F.col("html").isNotNull()).select(host_of(F.col("url")).alias("host"), F.xxhash64(F.lit(17), "page_id", "url").alias("x"), "html")
-    rows = rows.withColumn("cell", F.pmod("x", F.lit(sample)))
-    firsts = rows.groupBy("host", "cell").agg(F.min("x").alias("x"))
-    firsts = written(firsts, "firsts", shared_dir(pages.sparkSession))
-    if firsts.count() <= BROADCAST_HOSTS * sample:
-        firsts = F.broadcast(firsts)
-    chosen = rows.join(firsts, ["host", "cell", "x"]).dropDuplicates(["host", "cell"]).select("host", "x", "html")
+    rows = pick(pages, url=url_col, html=html_col).where(F.col("html").isNotNull()).select(host_of(F.col("url")).alias("host"), "html")
 
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        sources = [h for h in group.sort_values(["x", "html"])["html"] if h.count("<") <= MAX_SAMPLE_TOKENS] or list(group["html"][:1])
-        wrapper = infer(sources)
-        return pd.DataFrame({"host": group["host"][:1], "pages": [len(sources)], "path": [region(wrapper)], "wrapper": [expression(wrapper)]})
+    def skeletons(batches):
+        held: dict[tuple[str, int], list] = {}
 
-    return chosen.groupBy("host").applyInPandas(one, WRAPPERS)
+        def passed():
+            keys = list(held)
+            columns = [[k[0] for k in keys], [k[1] % CELLS for k in keys], [k[1] for k in keys], [held[k][0] for k in keys], [json.dumps(packed(held[k][1])) for k in keys]]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SKELETONS, strict=True)], schema=_SKELETONS)
+
+        for part in sliced(batches):
+            for host, source in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                page = fold(parse(source))
+                key = (host, digest(structure(page)))
+                old = held.get(key)
+                held[key] = [1, page] if old is None else [old[0] + 1, merge(old[1], page)]
+                if len(held) >= HELD:
+                    yield passed()
+        yield passed()
+
+    def of_cell(group: pd.DataFrame) -> pd.DataFrame:
+        first, whole, n = aligned(group)
+        return pd.DataFrame({"host": group["host"][:1], "cell": group["cell"][:1], "structure": [first], "pages": [n], "skeleton": [json.dumps(packed(whole))]})
+
+    def of_host(group: pd.DataFrame) -> pd.DataFrame:
+        _, whole, n = aligned(group)
+        paths = [path for path, _ in regions(whole)]
+        return pd.DataFrame({"host": group["host"][:1], "pages": [n], "path": [paths[0] if paths else []], "regions": [paths], "wrapper": [expression(whole)], "rules": [json.dumps(packed(ruled(whole)))]})
+
+    cells = rows.mapInArrow(skeletons, SKELETONS).groupBy("host", "cell").applyInPandas(of_cell, SKELETONS)
+    return cells.groupBy("host").applyInPandas(of_host, WRAPPERS)
 
 
 TEXTS = "page_id bigint, url string, text string, n_chars bigint"
@@ -320,19 +479,24 @@ def extract(pages: DataFrame, wrappers: DataFrame | None = None, id_col: str = "
     """(page_id, url, text, n_chars), one per input row.
 
     Null and empty html give the empty text; a null url is a host of its own; repeated rows repeat; an empty table gives
-    no rows; other columns are ignored.  Wrappers are broadcast up to BROADCAST_HOSTS hosts, a number that is counted
-    first, and joined by shuffle beyond.
+    no rows; other columns are ignored.  Wrappers are broadcast up to BROADCAST_BYTES, which are counted first, and joined
+    by shuffle beyond.
     """
     if wrappers is None:
         wrappers = written(host_wrappers(pages, id_col=id_col, url_col=url_col, html_col=html_col), "wrappers", shared_dir(pages.sparkSession))
-    paths = wrappers.select("host", "path")
-    if paths.count() <= BROADCAST_HOSTS:
-        paths = F.broadcast(paths)
-    rows = pick(pages, page_id=id_col, url=url_col, html=html_col).withColumn("host", host_of(F.col("url"))).join(paths, "host", "left")
+    rules = wrappers.select("host", "rules")
+    rows = pick(pages, page_id=id_col, url=url_col, html=html_col).withColumn("host", host_of(F.col("url")))
+    small = (rules.agg(F.sum(F.length("rules"))).head()[0] or 0) <= BROADCAST_BYTES
+    if small:
+        shared = pages.sparkSession.sparkContext.broadcast({r["host"]: r["rules"] for r in rules.collect()})
+        rows = rows.withColumnRenamed("host", "rules")
+    else:
+        rows = rows.join(rules, "host", "left")
 
     def run(batches):
-        for part in sliced(batches):
-            texts = [main_text(h, p) for h, p in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
+        for part in sliced(batches, SLICE_ROWS if small else 16):
+            keys = part.column(3).to_pylist()
+            texts = [main_text(h, read_rules(shared.value.get(k) if small else k)) for h, k in zip(part.column(2).to_pylist(), keys, strict=True)]
             yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), part.column(1).cast(pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema=_TEXTS)
 
-    return rows.select("page_id", "url", "html", "path").mapInArrow(run, TEXTS)
+    return rows.select("page_id", "url", "html", "rules").mapInArrow(run, TEXTS)
