@@ -269,6 +269,20 @@ def test_wrappers_align_all_pages_and_match(spark):
     assert wrappers.main_text(strange, wrappers.read_rules(rule["rules"])) == "other"
 
 
+@pytest.mark.parametrize("page, text", [
+    ('<div><article id="part-1"><p>one %d</p></article><article id="part-2"><p>two %d, longer than one</p></article></div>', "one {0}\ntwo {0}, longer than one"),
+    ('<div><article class="a"><p>one %d</p></article><article class="b"><p>two %d, longer than one</p></article></div>', "one {0}\ntwo {0}, longer than one"),
+    ("<main><p>lead %d</p><article><p>" + "long " * 60 + "%d</p></article></main>", "lead {0}\n" + "long " * 60 + "{0}"),
+    ("<div><p>lead %d</p><article><p>" + "long " * 60 + "%d</p></article></div>", "lead {0}\n" + "long " * 60 + "{0}"),
+    ('<header>Site</header><div class="x"><h1>title %d</h1><div class="y"><div class="z"><p>' + "long " * 60 + "%d</p></div></div></div>", "title {0}\n" + "long " * 60 + "{0}"),
+    ('<div class="top">Welcome here</div><div>loose %d <b>bold</b><article><p>story %d</p></article></div>', "loose {0} bold\nstory {0}"),
+])
+def test_regions_keep_all_running_text(page, text):
+    pages = [f"<html><body>{page % (i, i)}<footer>f</footer></body></html>" for i in range(6)]
+    rules = wrappers.ruled(wrappers.infer(pages))
+    assert [wrappers.main_text(p, rules) for p in pages] == [text.format(i) for i in range(6)]
+
+
 def test_pipeline(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:

@@ -22,6 +22,7 @@ from bisect import bisect_left
 from collections import Counter
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import groupby
 
 import pandas as pd
 import pyarrow as pa
@@ -275,44 +276,76 @@ def expression(node: Node) -> str:
     return f"( {body} ){node.count}" if node.count else body
 
 
-def weight(node: Node) -> int:
-    """Characters of running text below, without chrome and links; text that differs between pages counts most."""
-    if node.tag == "":
-        return node.size * (4 if node.mark is None else 1)
-    if node.chrome or node.tag == "a" or node.tag == "header" or HEADER_NAME.search(node.name):
-        return 0
-    return sum(map(weight, node.children))
+REGION = 1
+#: Blocks that a region does not narrow down to: what stands beside them belongs to the same text.
+LEAVES = set("p li td th tr tbody thead table ul ol dl dt dd h1 h2 h3 h4 h5 h6 pre blockquote caption figcaption figure address center hr legend summary".split())
 
 
-REGION = 1
+def leaves(node: Node) -> list[Node]:
+    return [node] if node.tag == "" else [x for c in node.children for x in leaves(c)]
+
+
+def constant(node: Node) -> bool:
+    """Whether the text below is the same on all pages that have the element, SEEN of them at least."""
+    texts = leaves(node)
+    return bool(texts) and all(x.mark is not None and x.n >= SEEN for x in texts)
+
+
+def site_header(node: Node) -> bool:
+    """A header that the alignment does not show to vary with the page, as a page's title does."""
+    return (node.tag == "header" or bool(HEADER_NAME.search(node.name))) and not any(x.mark is None and x.n >= SEEN for x in leaves(node))
+
+
+def weight(node: Node, varies: bool) -> int:
+    """Characters of running text below, without chrome, site headers and links.  On hosts whose pages differ, text that
+    is constant over the pages does not run."""
+    if node.tag == "":
+        return 0 if varies and constant(node) else node.size
+    if node.chrome or node.tag == "a" or site_header(node):
+        return 0
+    return sum(weight(c, varies) for c in node.children)
 
 
 def regions(wrapper: Node) -> list[tuple[list[str], Node]]:
-    """(labels from the root, element) of the elements that hold the running text: the article and main elements with text,
-    in every template, else the lowest element that holds nine tenths of the weight."""
-    found: list[tuple[list[str], Node]] = []
+    """(labels from the root, part) of the content regions, in page order.
 
-    def marked(node: Node, trail: list[str]) -> None:
-        for child in node.children:
-            if child.tag and not child.chrome and child.tag != "header":
-                here = [*trail, child.label]
-                if (child.tag in ("article", "main") or re.search(r"role=?main", child.name)) and weight(child):
+    Every article and main element with running text is one, whole, in every template; so is whatever else holds running
+    text beside them, as a lead or a title.  Where there is no such element, the region is the lowest container of all the
+    running text.
+    """
+    found: list[tuple[list[str], Node]] = []
+    varies = any(x.mark is None for x in leaves(wrapper)) and weight(wrapper, True) > 0
+
+    def marked(node: Node) -> bool:
+        return node.tag in ("article", "main") and weight(node, False) > 0 or any(marked(c) for c in node.children if c.tag and not c.chrome and not site_header(c))
+
+    def collect(node: Node, trail: list[str]) -> None:
+        for inline, group in groupby(node.children, lambda c: c.tag not in BLOCK):
+            parts = list(group)
+            # Text, links and emphasis that follow each other are one line; it runs if a part of it does.
+            line = inline and any(weight(c, varies) for c in parts)
+            for child in parts:
+                here = [*trail, child.label or "#text"]
+                if child.tag in ("article", "main") and weight(child, False):
+                    found.append((here, child))
+                elif child.tag and (child.chrome or site_header(child)):
+                    continue
+                elif child.tag and marked(child):
+                    collect(child, here)
+                elif line or weight(child, varies):
                     found.append((here, child))
-                else:
-                    marked(child, here)
 
-    marked(wrapper, [])
-    if found:
+    if marked(wrapper):
+        collect(wrapper, [])
         return found
     path: list[str] = []
     node = wrapper
     while True:
-        total = weight(node)
-        below = max((c for c in node.children if c.tag in BLOCK), key=weight, default=None)
-        if below is None or not total or weight(below) * 10 < total * 9 or below.tag in ("p", "li", "td", "h1", "h2", "pre", "blockquote"):
+        running = [c for c in node.children if weight(c, varies)]
+        if len(running) != 1 or running[0].tag not in BLOCK or running[0].tag in LEAVES:
             return [(path, node)]
-        path.append(below.label)
-        node = below
+        node = running[0]
+        path.append(node.label)
 
 
 def ruled(wrapper: Node) -> Node:
@@ -357,17 +390,11 @@ def described(page: Node, wrapper: Node) -> bool:
     page.rule = wrapper
     stream = [c for c in page.children if c.tag or said(c)]
     where = places([c.label for c in stream], wrapper.children)
-    return where is not None and all(not c.tag or described(c, wrapper.children[j]) for c, j in zip(stream, where, strict=True))
-
-
-def content(node: Node) -> list[Node]:
-    if node.rule.flags & REGION:
-        return [node]
-    return [n for c in node.children if c.tag for n in content(c)]
+    return where is not None and all(described(c, wrapper.children[j]) for c, j in zip(stream, where, strict=True))
 
 
-def blocks(node: Node) -> list[str]:
-    """Texts of the blocks below, in page order."""
+def blocks(page: Node) -> list[str]:
+    """Texts of the blocks of the content regions, in page order."""
     out: list[str] = []
     run: list[str] = []
 
@@ -377,21 +404,23 @@ def blocks(node: Node) -> list[str]:
             out.append(text)
         run.clear()
 
-    def walk(n: Node) -> None:
+    def walk(n: Node, inside: bool) -> None:
         for child in n.children:
+            here = inside or child.rule is not None and bool(child.rule.flags & REGION)
             if child.tag == "":
-                run.append(child.text or "")
+                if here or child.rule is None:
+                    run.append(child.text or "")
             elif child.tag == "br":
                 run.append(" ")
             elif not child.chrome:
                 block = child.tag in BLOCK
                 if block:
                     flush()
-                walk(child)
+                walk(child, here)
                 if block:
                     flush()
 
-    walk(node)
+    walk(page, bool(page.rule.flags & REGION))
     flush()
     return out
 
@@ -402,7 +431,7 @@ def main_text(source: str | None, wrapper: Node | None) -> str:
     page = parse(source)
     if wrapper is None or not described(page, wrapper):
         described(page, ruled(fold(page)))
-    return "\n".join(t for n in content(page) for t in blocks(n))
+    return "\n".join(blocks(page))
 
 
 @lru_cache(maxsize=64)
