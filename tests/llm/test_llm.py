@@ -283,6 +283,23 @@ def test_regions_keep_all_running_text(page, text):
     assert [wrappers.main_text(p, rules) for p in pages] == [text.format(i) for i in range(6)]
 
 
+@pytest.mark.parametrize("part", ['<section id="side-effects">%s</section>', '<h2 id="related-work">%s</h2>', '<p class="share-price">%s</p>', '<div id="informed-consent">%s</div>', '<div class="notice">%s</div>'])
+def test_named_parts_of_an_article(part):
+    pages = [f"<html><body><article><p>story {i}</p>{part % f'text {i}'}<div class='notice'>same on all</div><ul class='related'><li><a href='/'>next {i}</a></li></ul></article></body></html>" for i in range(6)]
+    rules = wrappers.ruled(wrappers.infer(pages))
+    if "notice" in part:  # beside its like, the two are one repeated group, whose text varies
+        assert [wrappers.main_text(p, rules) for p in pages] == [f"story {i}\ntext {i}\nsame on all" for i in range(6)]
+    else:
+        assert [wrappers.main_text(p, rules) for p in pages] == [f"story {i}\ntext {i}" for i in range(6)]
+        assert [wrappers.main_text(p.replace("<article>", "<div>").replace("</article>", "</div>"), None) for p in pages] == [f"story {i}\ntext {i}\nsame on all" for i in range(6)]
+
+
+def test_an_article_of_named_parts_alone():
+    pages = [f'<body><div>other {i}</div><article><div class="notice">text {i}</div></article></body>' for i in range(6)]
+    rules = wrappers.ruled(wrappers.infer(pages))
+    assert [wrappers.main_text(p, rules) for p in pages] == [f"other {i}\ntext {i}" for i in range(6)]
+
+
 def test_pipeline(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:

@@ -49,7 +49,10 @@ BLOCK = set("address article aside blockquote body caption center dd details dia
 CLOSES_P = BLOCK - {"body", "html", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "legend"}
 #: Opening one of these ends an open one of the set, up to the nearest container.
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
-CHROME_NAME = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|sidebar|side|menu|nav\w*|breadcrumbs?|footer|masthead|cookies?|consent|notice|popup|modal|overlay|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|comments?|replies|respond|disqus|widget|toolbar|pagination|pager|tags|copyright|skip)(?:$|[\s_-])", re.I)
+#: Names of chrome.  A whole class, id or role has to be one of these (numbers read as #): parts of slugs say nothing.
+CHROME_NAME = re.compile(r"(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|sidebar|side|menu|nav\w*|breadcrumbs?|footer|masthead|cookies?|consent|notice|popup|modal|overlay|share|sharing|social|related|recommend\w*|newsletter|subscribe|signup|comments?|replies|respond|disqus|widget|toolbar|pagination|pager|tags|copyright|skip|contentinfo|navigation|complementary)(?:[_-]?#)*", re.I)
+#: Elements whose ids authors choose for the page's frame; other ids (of headings, say) are made from the text.
+FRAMES = set("div section article main aside nav header footer form ul ol table".split())
 HEADER_NAME = re.compile(r"(?:^|[\s_-])(?:header|topbar)(?:$|[\s_-])", re.I)
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(script|style|template|noscript|textarea|title|iframe|svg|math|object)\b((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>.*?(?:</\1\s*>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S | re.I)
@@ -83,7 +86,11 @@ class Node:
 
     @property
     def chrome(self) -> bool:
-        return self.tag in CHROME_TAGS or bool(self.name and self.tag not in ("html", "body", "main", "article") and CHROME_NAME.search(self.name))
+        return self.tag in CHROME_TAGS or self.named
+
+    @property
+    def named(self) -> bool:
+        return bool(self.name and self.tag not in ("html", "body", "main", "article") and any(map(CHROME_NAME.fullmatch, self.name.split())))
 
 
 def parse(source: str) -> Node:
@@ -121,7 +128,7 @@ def parse(source: str) -> Node:
                 close({"p"}, {"table", "td", "th", "article", "section", "div", "li", "blockquote", "main", "aside", "form", "body"})
             if tag in SIBLINGS:
                 close(*SIBLINGS[tag])
-            name = " ".join(a or b or c for _, a, b, c in ATTRIBUTE.findall(attrs)) if attrs else ""
+            name = " ".join(a or b or c for kind, a, b, c in ATTRIBUTE.findall(attrs) if kind.lower() != "id" or tag in FRAMES) if attrs else ""
             node = Node(tag, DIGITS.sub("#", htmllib.unescape(name)))
             stack[-1].children.append(node)
             if tag not in VOID and (tag in BLOCK or not attrs.endswith("/")) and len(stack) < MAX_DEPTH:
@@ -276,7 +283,7 @@ def expression(node: Node) -> str:
     return f"( {body} ){node.count}" if node.count else body
 
 
-REGION = 1
+REGION, CONSTANT = 1, 2
 #: Blocks that a region does not narrow down to: what stands beside them belongs to the same text.
 LEAVES = set("p li td th tr tbody thead table ul ol dl dt dd h1 h2 h3 h4 h5 h6 pre blockquote caption figcaption figure address center hr legend summary".split())
 
@@ -306,6 +313,15 @@ def weight(node: Node, varies: bool) -> int:
     return sum(weight(c, varies) for c in node.children)
 
 
+def article(node: Node) -> bool:
+    """An article or main element with text outside of links; names of parts of it are not asked."""
+    return node.tag in ("article", "main") and any(map(holds, node.children))
+
+
+def holds(node: Node) -> bool:
+    return node.tag == "" or node.tag not in CHROME_TAGS and node.tag != "a" and any(map(holds, node.children))
+
+
 def regions(wrapper: Node) -> list[tuple[list[str], Node]]:
     """(labels from the root, part) of the content regions, in page order.
 
@@ -317,7 +333,7 @@ def regions(wrapper: Node) -> list[tuple[list[str], Node]]:
     varies = any(x.mark is None for x in leaves(wrapper)) and weight(wrapper, True) > 0
 
     def marked(node: Node) -> bool:
-        return node.tag in ("article", "main") and weight(node, False) > 0 or any(marked(c) for c in node.children if c.tag and not c.chrome and not site_header(c))
+        return article(node) or any(marked(c) for c in node.children if c.tag and not c.chrome and not site_header(c))
 
     def collect(node: Node, trail: list[str]) -> None:
         for inline, group in groupby(node.children, lambda c: c.tag not in BLOCK):
@@ -326,7 +342,7 @@ def regions(wrapper: Node) -> list[tuple[list[str], Node]]:
             line = inline and any(weight(c, varies) for c in parts)
             for child in parts:
                 here = [*trail, child.label or "#text"]
-                if child.tag in ("article", "main") and weight(child, False):
+                if article(child):
                     found.append((here, child))
                 elif child.tag and (child.chrome or site_header(child)):
                     continue
@@ -349,12 +365,38 @@ def regions(wrapper: Node) -> list[tuple[list[str], Node]]:
 
 
 def ruled(wrapper: Node) -> Node:
-    """The wrapper with its content regions flagged."""
+    """The wrapper with its content regions flagged, and the named elements whose text is constant over differing pages."""
     for _, node in regions(wrapper):
         node.flags |= REGION
+    if any(x.mark is None for x in leaves(wrapper)):
+        flag_constants(wrapper)
     return wrapper
 
 
+def flag_constants(node: Node) -> None:
+    for child in node.children:
+        if child.named and constant(child):
+            child.flags |= CONSTANT
+        flag_constants(child)
+
+
+def dropped(node: Node, inside: bool) -> bool:
+    """Whether a page's element is chrome.  Outside the regions its name decides; inside, the name counts only where the
+    alignment finds the text constant over the host or most of the text is links."""
+    if node.tag in CHROME_TAGS:
+        return True
+    if not node.named:
+        return False
+    if not inside or node.rule.flags & CONSTANT:
+        return True
+    total = sum(len(said(x)) for x in leaves(node))
+    return linked(node) * 2 > total
+
+
+def linked(node: Node) -> int:
+    return sum(len(said(x)) for x in leaves(node)) if node.tag == "a" else sum(linked(c) for c in node.children)
+
+
 # --- extraction ---------------------------------------------------------------------------------------------
 
 
@@ -404,7 +446,9 @@ def blocks(page: Node) -> list[str]:
             out.append(text)
         run.clear()
 
-    def walk(n: Node, inside: bool) -> None:
+    def walk(n: Node, inside: bool, body: bool) -> None:
+        # Where the region is the whole body, names decide as they do outside.
+        body = body and n.tag in ("#root", "html", "body")
         for child in n.children:
             here = inside or child.rule is not None and bool(child.rule.flags & REGION)
             if child.tag == "":
@@ -412,15 +456,15 @@ def blocks(page: Node) -> list[str]:
                     run.append(child.text or "")
             elif child.tag == "br":
                 run.append(" ")
-            elif not child.chrome:
+            elif not dropped(child, here and not body):
                 block = child.tag in BLOCK
                 if block:
                     flush()
-                walk(child, here)
+                walk(child, here, body)
                 if block:
                     flush()
 
-    walk(page, bool(page.rule.flags & REGION))
+    walk(page, bool(page.rule.flags & REGION), True)
     flush()
     return out
 
