@@ -173,6 +173,24 @@ def test_licenses(spark, odd):
     assert licenses.license_matches(odd).where("license_id is null").count() == len(ODD)
 
 
+def test_licenses_wrapped_titled_and_long(spark):
+    import textwrap
+    from pathlib import Path
+
+    def wrapped(text, width):
+        return "\n\n".join(textwrap.fill(p, width, break_long_words=False, break_on_hyphens=False) for p in text.split("\n\n"))
+
+    texts = licenses.KNOWN | licenses.MORE
+    rows = [(name, "Copyright (c) 2020 Jane Doe\nCopyright 2021, 2022 Others\nCopyright The Authors\n\n" + wrapped(t, w)) for name, t in texts.items() for w in range(30, 100)]
+    rows += [(name, f"{title}\n\nCopyright (c) 2020 Jane Doe\n\n{wrapped(texts[name], 78)}\n") for name, titles in licenses.TITLES.items() for title in titles]
+    for file, name in (("Apache-2.0", "Apache-2.0"), ("GPL-3", "GPL-3.0"), ("LGPL-2.1", "LGPL-2.1"), ("MPL-2.0", "MPL-2.0"), ("CC0-1.0", "CC0-1.0"), ("BSD", "BSD-3-Clause")):
+        path = Path("/usr/share/common-licenses") / file
+        if path.exists():
+            rows.append((name, path.read_text(encoding="utf-8")))
+    found = licenses.license_matches(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    assert len(found) == len(rows) and [(r["doc_id"], r["license_id"]) for r in found if r["doc_id"] != r["license_id"]] == []
+
+
 def test_packing(docs, odd, none):
     enc = bpe.encoder(VOCABULARY)
     for table in (docs, odd):

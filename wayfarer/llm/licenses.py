@@ -1,6 +1,6 @@
 """Canonical digest lookup: whole texts, normalised, hashed, and joined to the digests of known licences.
 
-Normalising makes spellings of one text equal: lower case, copyright lines and "all rights reserved" lines gone,
+Normalising makes spellings of one text equal: lower case, copyright statements and "all rights reserved" lines gone,
 equivalent words unified, punctuation and white space reduced to single spaces.  What is left is hashed; a
 licence is recognised only if the entire text is the licence.  All of it is built-in expressions on the JVM.
 """
@@ -35,11 +35,17 @@ EQUIVALENT = [
     ("wilful", "willful"),
 ]
 
-#: Ordered (pattern, replacement) steps on the lower-cased text; the patterns mean the same in Java, Python and RE2.
-COPYRIGHT = r"(?m)^[^0-9a-z\n]*(?:copyright|\(c\)|©)[^\n]*$"
+#: Ordered (pattern, replacement) steps on the lower-cased text; the patterns mean the same in Java and Python.
+#: A copyright line is a statement: the word followed by (c), a year or a holder.  Lines that a wrap makes begin with the
+#: word (copyright notice, copyright holders be liable) go on with one of these words, and stay.
+CONTINUED = r"(?:holders?|owners?|ownership|notices?|licen[sc]e[sd]?|laws?|statements?|interests?|acts?|and|or|on|to|in|of|for|is|as|if|at|are|was|be|that|this|it|its|which|with|under|from|not|does|you|we|may|shall|will|rights?|protection|infringement|claims?|disclaimers?|permissions?|treaty|treaties|management|restrictions?|doctrines?|status|information|legend|year|years|resulting|licensees?|assignment|assigned|registration|policy|material|the (?:software|library|program|work|package))"
+COPYRIGHT = r"(?m)^[^0-9a-z\n]*(?:copyright[ \t:]*(?:\(c\)|©|[0-9]{4})|copyright[ \t:]+(?!" + CONTINUED + r"\b)[^\s0-9]|\(c\)[ \t]*(?:copyright\b|[0-9]{4})|©)[^\n]*$"
 RIGHTS = r"(?m)^[^0-9a-z\n]*all rights reserved[^\n]*$"
 STEPS = [(COPYRIGHT, " "), (RIGHTS, " "), (r"[^0-9a-z\x{80}-\x{10FFFF}]+", " ")]
 
+#: The steps of the SQL, which takes every line that begins with the word for a statement.
+SQL_STEPS = [(r"(?m)^[^0-9a-z\n]*(?:copyright|\(c\)|©)[^\n]*$", " "), *STEPS[1:]]
+
 # Published licence texts and notices, whole.
 KNOWN = {
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
@@ -70,6 +76,48 @@ Unless required by applicable law or agreed to in writing, software distributed
     "CC0-1.0-notice": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty.",
 }
 
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.
+"""
+_BSD_NAMES = """
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.
+"""
+_BSD_AS_IS = """
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+#: Texts that the SQL does not list.
+MORE = {"BSD-2-Clause": _BSD + _BSD_AS_IS, "BSD-3-Clause": _BSD + _BSD_NAMES + _BSD_AS_IS}
+
+# Title lines under which repositories ship the texts.
+TITLES = {
+    "MIT": ["MIT", "MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "Expat License", "MIT License (Expat)"],
+    "ISC": ["ISC", "ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)"],
+    "0BSD": ["0BSD", "Zero-Clause BSD", "BSD Zero Clause License", "Zero-Clause BSD License", "Zero-Clause BSD License (0BSD)", "BSD Zero Clause License (0BSD)"],
+    "Zlib": ["zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License", "zlib License (Zlib)"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "BSD-2-Clause", "Simplified BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "BSD-3-Clause", "New BSD License", "Modified BSD License", "BSD License"],
+}
+
+# Canonical digests of long texts, as distributed in /usr/share/common-licenses.
+LONG = {
+    "Apache-2.0": "75acde0fb516a7ba4597dfc23680cf78281f7fae7f3b74a78e06ef83c1c375c6",
+    "Artistic-1.0-Perl": "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702",
+    "BSD-3-Clause": "21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651",
+    "CC0-1.0": "cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e",
+    "GFDL-1.2": "1c057ea35084eb195331cec1a49fca335c176422a7726a9a23636906fd4e241f",
+    "GFDL-1.3": "7e8edd3abe6258bb82bb853d91a0c24fcd9976894fd0592747354cffe1cb18e7",
+    "GPL-1.0": "8f586b09c093668e2db772bdcfc1d5dc0b03e0e862fccbff035e1bf134e9b224",
+    "GPL-2.0": "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821",
+    "GPL-3.0": "a8cd54d6683aa630f0b8d05d56184ad91dc486756da2df61c94d3e4e8d5ecb68",
+    "LGPL-2.0": "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908",
+    "LGPL-2.1": "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891",
+    "LGPL-3.0": "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",
+    "MPL-1.1": "7197bf24a2795592ac6dc2bdf3ad20f364fb9e61d2c8d749f267dda416714bb1",
+    "MPL-2.0": "3599de37bcef5820a1933fc9b0c5b5389b95fa5dc39cb6e05f4764ef1c2f2439",
+}
+
 
 def canonical(text: str) -> str:
     """The normal form in Python, for the few known texts."""
@@ -90,8 +138,14 @@ def canonical_column(text: Column) -> Column:
     return F.trim(out)
 
 
+def digest(text: str) -> str:
+    return hashlib.sha256(canonical(text).encode()).hexdigest()
+
+
 def known_digests() -> list[tuple[str, str]]:
-    return [(hashlib.sha256(canonical(t).encode()).hexdigest(), name) for name, t in KNOWN.items()]
+    """(digest, license_id) of the texts, bare and under their titles, and of the long texts."""
+    texts = [(f"{title}\n\n{t}", name) for name, t in (KNOWN | MORE).items() for title in ["", *TITLES.get(name, [])]]
+    return [*((digest(t), name) for t, name in texts), *((d, name) for name, d in LONG.items())]
 
 
 def license_matches(docs: DataFrame, known: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", broadcast_rows: int = 100_000) -> DataFrame:
@@ -116,11 +170,11 @@ def license_sql() -> str:
     """The same in DuckDB SQL over the view documents."""
     text = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    for pattern, to in STEPS:
+    for pattern, to in SQL_STEPS:
         text = f"regexp_replace({text}, {quote(pattern)}, '{to}', 'g')"
     for variant, form in EQUIVALENT:
         text = f"replace({text}, {quote(variant)}, {quote(form)})"
-    rows = ", ".join(f"({quote(d)}, {quote(n)})" for d, n in known_digests())
+    rows = ", ".join(f"({quote(digest(t))}, {quote(n)})" for n, t in KNOWN.items())
     return (
         f"WITH known(digest, license_id) AS (VALUES {rows}), c AS (SELECT doc_id, coalesce(length(text), 0)::BIGINT AS n_chars, trim({text}, ' ') AS canonical FROM documents) "
         "SELECT c.doc_id, c.n_chars, sha256(c.canonical) AS canonical_sha256, k.license_id FROM c LEFT JOIN known k ON k.digest = sha256(c.canonical) AND c.canonical <> ''"
