@@ -225,6 +225,16 @@ def test_toxicity_search_is_exact_and_learns():
     assert toxicity.learn([]) is None and 0 <= model.score(None)[0] <= 1
 
 
+def test_only_near_copies_leave_the_labelled_sample():
+    random.seed(4)
+    words = [f"w{i}" for i in range(40)]  # few words: texts share most of them without being copies
+    rows = [(i, " ".join(random.choices(words, k=80)), i % 2) for i in range(60)]
+    copies = [(100 + i, t + " end", y) for i, t, y in rows[:10]]
+    assert toxicity.without_copies(rows + copies) == rows
+    once, thrice = toxicity.learn(rows), toxicity.learn(rows + [(200 + i, t, y) for i, t, y in rows if y == 0] * 2)
+    assert thrice.prior < once.prior
+
+
 def test_toxicity_tables(odd, none, spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(1, 8)], "doc_id bigint, toxic int")
     model = toxicity.learn(*toxicity.labelled_rows(odd, labels))

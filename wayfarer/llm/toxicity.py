@@ -9,10 +9,12 @@ the neighbours are the evidence.
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
 from collections import Counter
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,14 +48,24 @@ def term_counts(text: str | None) -> Counter:
     return out
 
 
-def without_copies(rows: list[tuple[int, str, int]], size: int = 8) -> list[tuple[int, str, int]]:
-    """Leaves out near copies of earlier examples of the label, which would make any word of theirs look telling:
-    those that share half of their smallest word hashes with one example."""
+def shingles(text: str, size: int = 5) -> set[int]:
+    """Hashes of the runs of five words, or of the whole of a shorter text."""
+    words = _WORD(text.lower())
+    return {zlib.crc32(" ".join(words[i : i + size]).encode("utf-8", "surrogatepass")) for i in range(max(1, len(words) - size + 1))} if words else set()
+
+
+def without_copies(rows: list[tuple[int, str, int]], size: int = 32) -> list[tuple[int, str, int]]:
+    """Leaves out near copies of earlier examples of the label, which would make any word of theirs look telling: those
+    whose shingle sets have a Jaccard similarity of 0.75 with one example.  Candidates share a quarter of the smallest
+    shingle hashes; the whole sets decide."""
     kept, seen = [], {}
+    whole = lru_cache(maxsize=256)(lambda i: shingles(kept[i][1]))
     for row in rows:
-        sketch = sorted({zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in _WORD(row[1].lower())})[:size]
+        own = shingles(row[1])
+        sketch = heapq.nsmallest(size, own)
         shared = Counter(i for h in sketch for i in seen.get((row[2], h), ()))
-        if sketch and len(sketch) == size and max(shared.values(), default=0) * 2 >= size:
+        near = (i for i, n in shared.most_common() if n * 4 >= len(sketch))
+        if any(4 * len(own & whole(i)) >= 3 * len(own | whole(i)) for i in near):
             continue
         for h in sketch:
             seen.setdefault((row[2], h), []).append(len(kept))
@@ -157,10 +169,13 @@ def isotonic(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tupl
 
 def learn(rows: list[tuple[int, str, int]], weight: dict[int, float] | None = None) -> ToxicityModel | None:
     """rows: (doc_id, text, label 0 or 1); weight: how many labelled rows one sampled row of a label stands for."""
+    sampled = Counter(y for _, _, y in rows)
     rows = without_copies(sorted(rows, key=lambda r: (r[0], r[2], r[1])))
     if not rows:
         return None
-    weight = weight or {0: 1.0, 1: 1.0}
+    # The rows left stand for the copies too.
+    left = Counter(y for _, _, y in rows)
+    weight = {y: (weight or {}).get(y, 1.0) * sampled[y] / max(1, left[y]) for y in (0, 1)}
     labels = np.array([y for _, _, y in rows])
     counts = [term_counts(t) for _, t, _ in rows]
     df = [Counter(), Counter()]
