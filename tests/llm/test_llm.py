@@ -191,6 +191,18 @@ def test_licenses_wrapped_titled_and_long(spark):
     assert len(found) == len(rows) and [(r["doc_id"], r["license_id"]) for r in found if r["doc_id"] != r["license_id"]] == []
 
 
+def test_long_runs_pack_like_the_library():
+    from tokenizers import Tokenizer
+
+    theirs = Tokenizer.from_file(VOCABULARY)
+    random.seed(8)
+    texts = [c * n for c, n in ((" ", 1_000_000), (" ", 5_000_000), ("\n", 1_000_000), ("a", 1_000_000), ("!", 1_000_000), (" \n\t", 300_000))]
+    parts = [" " * 1000, " " * 999, "\n" * 1500, "\u3000" * 1200, "\x1f" * 1100, " \n" * 700, "x", "a b", "<|endoftext|>", "!", " ", "'s", "\x85" * 1001]
+    texts += ["".join(random.choices(parts, k=random.randint(1, 6))) for _ in range(300)]
+    for text in texts:
+        assert packing.token_ids(VOCABULARY, text).tolist() == theirs.encode(text, add_special_tokens=False).ids
+
+
 def test_packing(docs, odd, none):
     enc = bpe.encoder(VOCABULARY)
     for table in (docs, odd):
@@ -207,6 +219,11 @@ def test_packing(docs, odd, none):
     assert packing.pack(none, VOCABULARY).count() == 0
 
 
+def test_packing_takes_a_row_of_spaces(spark):
+    rows = spark.createDataFrame([(1, " " * 1_000_000), (2, "x" + "\n" * 500_000 + "y")], "doc_id bigint, text string")
+    assert packing.pack(rows, VOCABULARY).groupBy("doc_id").sum("length").count() == 2
+
+
 def test_toxicity_search_is_exact_and_learns():
     random.seed(2)
     plain = [f"w{i}" for i in range(800)]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -52,16 +53,24 @@ def map_slices(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list]],
     return df.mapInArrow(run, schema)
 
 
+#: Folders that this process has made below the shared one.
+_made: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
-    Where the setting is missing (tests, one machine) a folder in the warehouse is used and set.
+    Where the setting is missing, one machine (a local master, as in tests) uses and sets a folder in the warehouse; on
+    a cluster no folder can be trusted to be shared, so that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/checkpoints"
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/wayfarer-{uuid.uuid4().hex}"
+    _made.append(f"{root.rstrip('/')}/wayfarer-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def written(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
@@ -76,3 +85,27 @@ def remove(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Removes at its end the folders that operators make inside.  What is lazy has to be written elsewhere before."""
+    start = len(_made)
+    try:
+        yield
+    finally:
+        for path in _made[start:]:
+            remove(spark, path)
+        del _made[start:]
+
+
+def joined_evenly(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """Inner join of rows with groups (a written table, one row per key, rows of the key in column size).
+
+    Keys that hold a thousandth of all rows or more are at most a thousand: these groups are broadcast, so a hot key is
+    joined where its rows lie.  The other keys are joined by shuffle.
+    """
+    hot = groups.where(F.col(size) * 1000 >= total)
+    cold = groups.where(F.col(size) * 1000 < total)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(rest.join(cold.hint("merge"), key))

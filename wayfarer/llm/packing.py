@@ -9,12 +9,14 @@ cuts them at multiples of the window, with one boundary record per piece.  Only
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import tiktoken
+from tokenizers import Tokenizer
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,21 +33,49 @@ PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_toke
 _PIECES = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
 
 
+#: Runs of white space (of the Unicode property) that the compiled pattern is spared: it backtracks over a run on a stack.
+LONG_RUN = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{1000,}")
+
+
 @lru_cache(maxsize=2)
-def tokenizer(path: str) -> tuple[tiktoken.Encoding, int]:
-    """The vocabulary file as a compiled tokenizer (one per Python worker), and its number of ids."""
+def tokenizer(path: str) -> tuple[tiktoken.Encoding, int, dict[str, int]]:
+    """The vocabulary file as a compiled tokenizer (one per Python worker), its number of ids, and its special tokens."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     letters = byte_letters()
     ranks = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items()}
     special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
     ranks = {b: i for b, i in ranks.items() if i not in special.values()}
-    return tiktoken.Encoding("packed", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special), max([*ranks.values(), *special.values()]) + 1
+    return tiktoken.Encoding("packed", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special), max([*ranks.values(), *special.values()]) + 1, special
+
+
+@lru_cache(maxsize=2)
+def library(path: str) -> Tokenizer:
+    return Tokenizer.from_file(path)
 
 
 def token_ids(path: str, text: str | None) -> np.ndarray:
     """Ids of the whole text; special tokens in it count as such."""
-    return tokenizer(path)[0].encode_to_numpy(text, allowed_special="all") if text else np.zeros(0, np.uint32)
+    if not text:
+        return np.zeros(0, np.uint32)
+    encoding, _, special = tokenizer(path)
+    if not LONG_RUN.search(text):
+        return encoding.encode_to_numpy(text, allowed_special="all")
+    parts = []
+    marks = sorted(map(re.escape, special), key=len, reverse=True)
+    for piece in re.split(f"({'|'.join(marks)})", text) if marks else [text]:
+        if piece in special:
+            parts.append([special[piece]])
+            continue
+        at = 0
+        for run in LONG_RUN.finditer(piece):
+            # The pattern takes a run as one word, less its last character where text follows: that one leads the next word.
+            end = run.end() if run.end() == len(piece) else run.end() - 1
+            parts.append(encoding.encode_to_numpy(piece[at : run.start()], disallowed_special=()))
+            parts.append(library(path).encode(piece[run.start() : end], add_special_tokens=False).ids)
+            at = end
+        parts.append(encoding.encode_to_numpy(piece[at:], disallowed_special=()))
+    return np.concatenate([np.asarray(p, np.uint32) for p in parts])
 
 
 def encoded(docs: DataFrame, vocabulary: str, end_id: int, id_col: str, text_col: str) -> DataFrame:

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import os
-
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,9 +10,8 @@ from . import bpe, exact, langid, licenses, matroska, neardup, packing, sharding
 from .common import table
 from .langid import held_out
 
-#: Where the public tokenizer files lie; they are read in place.
-TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
-VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.json"
+#: The public vocabulary file, read in place on every machine; the operators take its path as a parameter.
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
