@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -163,6 +164,26 @@ def test_exact_index(spark, odd, none, tmp_path):
     again = exact.DigestIndex(spark, f"file://{tmp_path}/index", 4)
     late = {r["doc_id"]: r["keep_id"] for r in exact.exact_groups(odd.where("doc_id <= 3"), again).collect()}
     assert late == {1: 1, 2: 1, 3: 4} and again.rows().count() == 5
+    exact.exact_groups(odd, again).count()
+    assert again.rows().count() == 5  # a batch that is known as a whole adds nothing
+    assert [r["doc_id"] for r in exact.dedup(odd, again).orderBy("doc_id").collect()] == [1, 4, 5, 6, 7]
+    again.close()
+    assert exact.exact_groups(none).count() == 0
+
+
+def test_exact_batches_by_brute_force(spark):
+    random.seed(6)
+    rows = [(i, random.choice(["a", "b  c", "b c", "", None, "\tb c", f"u{i}"])) for i in random.sample(range(-500, 500), 400)] + [(None, "a"), (None, "only here"), (None, "only here"), (7000, "hot")] + [(8000 + i, "hot") for i in range(600)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    normal = lambda t: re.sub(r"[\x20\x09-\x0D]+", " ", t or "")
+    groups: dict = {}
+    for i, t in rows:
+        groups.setdefault(normal(t), []).append(i)
+    least = {t: min((i for i in ids if i is not None), default=None) for t, ids in groups.items()}
+    want = sorted((str(i), str(least[normal(t)]), len(groups[normal(t)]), i == least[normal(t)], hashlib.sha256(normal(t).encode()).hexdigest()) for i, t in rows)
+    for batches in (1, 2, 5):
+        assert sorted((str(r["doc_id"]), str(r["keep_id"]), r["group_size"], r["kept"], r["text_sha256"]) for r in exact.exact_groups(frame, batches=batches).collect()) == want
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("digest_index")]
 
 
 def test_licenses(spark, odd):

@@ -3,6 +3,8 @@
 The index is a Parquet table bucketed and sorted by digest.  A batch of new rows is reduced to one row per
 digest (partial aggregation first, so a text copied a million times sends one row per task), compared with the
 index by a sort-merge anti-join that reads the index bucket by bucket without moving it, and what is new is appended.
+The index outlives the session at its path; the groups that hold a thousandth of all rows or more are broadcast when
+the rows look up their answer, so no task gets a hot digest.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, pick, quoted, shared_dir, written
+from .common import fresh, joined_evenly, pick, quoted, shared_dir, written
 
 SPACE = r"[\x20\x09-\x0D]+"
 
@@ -49,35 +51,56 @@ class DigestIndex:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
-def exact_groups(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def batches_of(hashed: DataFrame, batches: int) -> list[DataFrame]:
+    """hashed cut at equal steps between the smallest and the largest id, in order of id; null ids come last."""
+    if batches < 2 or dict(hashed.dtypes)["doc_id"] not in ("tinyint", "smallint", "int", "bigint"):
+        return [hashed]
+    least, most = hashed.agg(F.min("doc_id"), F.max("doc_id")).head()
+    if least is None or least == most:
+        return [hashed]
+    ends = [least + (most - least) * i // batches for i in range(1, batches)]
+    out, before = [], None
+    for end in ends:
+        out.append(hashed.where(F.col("doc_id") <= end) if before is None else hashed.where(f"doc_id > {before} and doc_id <= {end}"))
+        before = end
+    return [*out, hashed.where(f"doc_id > {before} or doc_id is null")]
+
+
+def exact_groups(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text", batches: int = 2) -> DataFrame:
     """Rows (doc_id, keep_id, group_size, kept, text_sha256), one per input row.
 
-    keep_id is the id that the index holds for the text: the smallest id of the first batch that brought it.
-    A null text equals the empty one.  Rows that repeat an id keep that id each (``dedup`` keeps one of them);
+    The rows meet the index as ``batches`` successive batches by rising id, each anti-joined with all that the index holds
+    by then and appended; without an index a new one is made, which goes with the scratch folders.  keep_id is the id
+    that the index holds for the text: the smallest id of the first batch that brought it.  group_size counts the rows
+    of docs.  A null text equals the empty one.  Rows that repeat an id keep that id each (``dedup`` keeps one of them);
     null ids lose to any other.  An empty table gives no rows; other columns are ignored.
     """
-    spark = docs.sparkSession
-    index = index or DigestIndex(spark, f"{shared_dir(spark)}/digests", buckets=max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    spark, own = docs.sparkSession, index is None
+    folder = shared_dir(spark)
+    index = index or DigestIndex(spark, f"{folder}/digests", buckets=max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     hashed = pick(docs, doc_id=id_col, text=text_col).select("doc_id", F.unhex(digest_of(F.col("text"))).alias("digest"))
-    hashed = written(hashed, "hashed")
-    groups = hashed.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    index.append(groups.select("digest", "keep_id"))
-    sizes = groups.select("digest", "group_size").join(index.rows().hint("merge"), "digest")
-    joined = hashed.join(sizes.hint("merge"), "digest")
+    hashed = written(hashed, "hashed", folder)
+    for batch in batches_of(hashed, batches):
+        index.append(batch.groupBy("digest").agg(F.min("doc_id").alias("keep_id")))
+    sizes = hashed.groupBy("digest").agg(F.count("*").alias("group_size"))
+    groups = written(sizes.join(index.rows().hint("merge"), "digest"), "groups", folder)
+    if own:
+        index.close()
+    joined = joined_evenly(hashed, groups, "digest", "group_size", hashed.count())
     return joined.select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns, that stay: of equal texts the one with the smallest id.
+def dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, all columns, that stay by the index: of equal texts the one whose id it holds.
 
-    Rows equal in text and id (repeats) leave one.  The digest decides; the texts of losers are never moved.
+    With an index that holds earlier data, texts known from there go altogether, unless the row is the one that brought
+    the text.  Rows equal in text and id (repeats) leave one.  The texts of losers are never moved.
     """
     d, k, z = (fresh(docs, x) for x in ("wf_digest", "wf_id", "wf_null"))
     raw = F.col(quoted(id_col))
+    stay = exact_groups(docs, index, id_col, text_col).where("kept")
+    best = stay.select(F.unhex("text_sha256").alias(d), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(k), F.col("doc_id").isNull().alias(z)).distinct()
     marked = docs.withColumn(d, F.unhex(digest_of(F.col(quoted(text_col)))))
-    narrow = pick(marked, doc_id=id_col, digest=d)
-    best = narrow.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    best = best.select(F.col("digest").alias(d), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias(k), F.col("doc_id").isNull().alias(z))
     marked = marked.withColumn(k, F.coalesce(raw.cast("string"), F.lit(""))).withColumn(z, raw.isNull())
     # Joined by digest and id together, so that a hot digest is spread over its ids; the repeats of one id fall together.
     return marked.join(best, [d, k, z], "left_semi").dropDuplicates([d, k, z]).drop(d, k, z)
