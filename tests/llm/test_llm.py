@@ -112,6 +112,23 @@ def test_shards_by_brute_force(docs, odd, none):
     assert sharding.proportional_shards(none).count() == 0
 
 
+def test_shard_ranks_by_brute_force(spark):
+    from pyspark.sql import functions as F
+
+    random.seed(9)
+    rows = [(i, "t" * (i % 7), random.choice(["big", "big", "big", "b", None, ""])) for i in range(700)] + [(5000, "copy", "twin")] * 300
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(5)
+    found = sharding.proportional_shards(frame, 40, cell_rows=8)
+    mixed = found.withColumn("mix", F.xxhash64(F.lit(sharding.SEED), "doc_id", "size", "text_crc32")).toPandas()
+    assert sorted(mixed.position) == list(range(1000)) and set(mixed[mixed.doc_id == 5000].shard.value_counts()) <= {7, 8}
+    want = []
+    for source, part in mixed.groupby("source", dropna=False):
+        part = part.sort_values("mix", key=lambda c: c.to_numpy().view("uint64"))
+        want += [((2 * r + 1) / (2 * len(part)), "" if not isinstance(source, str) else "=" + source, i) for r, i in enumerate(part.doc_id)]
+    assert [i for *_, i in sorted(want, key=lambda x: x[:2])] == list(mixed.sort_values("position").doc_id)
+    assert (mixed.shard == mixed.position * 40 // 1000).all() and (mixed.slot == mixed.position % 25).all()
+
+
 def test_near_duplicates_by_brute_force(spark, docs, odd, none):
     random.seed(1)
     words = [f"w{i}" for i in range(4000)]
