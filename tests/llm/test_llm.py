@@ -43,6 +43,48 @@ def test_matroska_round_trip(length):
     assert n == length and payload.rstrip(b" ") == text.encode() and len(payload) % 192 == 0 and payload
 
 
+def test_text_media_by_brute_force(spark, odd, none, docs):
+    """Every column of op1 recomputed from the text alone, by plain loops."""
+    rows = spark.createDataFrame([(100, "a" * 100_000), (101, "b" * 100_000), (102, "xyz " * 200_000)], "doc_id bigint, text string").unionByName(odd.select("doc_id", "text")).unionByName(docs.selectExpr("doc_id + 1000 as doc_id", "text").limit(40))
+    texts = {r["doc_id"]: r["text"] for r in rows.collect()}
+    found = matroska.text_media(rows).collect()
+    assert len(found) == rows.count() and matroska.text_media(none).count() == 0
+    for r in found:
+        raw = (texts[r["doc_id"]] or "").encode()
+        payload = raw + b" " * (-len(raw) % 192 if raw else 192)
+        assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        said = dict(x.split("=") for x in r["feature"].split(";"))
+        frames = [sum((b - 128) ** 2 for b in payload[i : i + 192]) for i in range(0, len(payload), 192)]
+        turns, last, way = 0, payload[0], 0
+        for b in payload:
+            now = (b > last) - (b < last)
+            turns += now * way < 0
+            way, last = now or way, b
+        levels = [0] * 8
+        for b in payload:
+            levels[b // 32] += 1
+        loud = frames.index(max(frames))
+        assert (int(said["sum"]), int(said["energy"]), int(said["turns"]), int(said["loud_energy"])) == (sum(payload) - 128 * len(payload), sum(frames), turns, max(frames))
+        assert said["levels"] == ",".join(map(str, levels)) and abs(int(said["loud_ns"]) - loud * 24_000_000) < 2_000_000
+        assert int(said["packets"]) == len(frames)
+    by = {r["doc_id"]: r for r in found}
+    assert by[100]["feature"] != by[101]["feature"] and by[3]["feature"] != by[4]["feature"]
+
+
+def test_seek_by_cue():
+    text = "".join(random.Random(1).choices("abcdef \n", k=1_500_000))
+    _, data = matroska.stored(text)
+    parsed = matroska.parse(data)
+    assert len(parsed.clusters) > 3
+    for time in (0, 40_000_000_000, 100_000_000_000, 10**12):
+        packets = matroska.seek(data, parsed, time)
+        assert packets and b"".join(data[p.offset : p.offset + p.length] for p in packets) in text.encode() + b" " * 192
+        assert packets[0].timestamp_ns <= time
+    cut = matroska.Parsed(parsed.tracks, parsed.packets, [(0, 1, 3)], parsed.clusters, parsed.scale)
+    with pytest.raises(matroska.MatroskaError):
+        matroska.seek(data, cut, 5)
+
+
 @pytest.mark.parametrize("lacing", [matroska.LACE_XIPH, matroska.LACE_EBML])
 def test_lacing(lacing):
     frames = [b"a" * 300, b"b" * 10, b"c" * 70_000, b"", b"d" * 5]

@@ -12,6 +12,7 @@ import struct
 import zlib
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -80,8 +81,8 @@ def block_body(track: int, ticks: int, frames: list[bytes], lacing: int, key: bo
 
 def mux_pcm(payload: bytes, frame_bytes: int = 192, lace_frames: int = 64, cluster_frames: int = 4096, rate: int = 8000) -> bytes:
     """One track of unsigned 8-bit PCM: frames of frame_bytes, laced lace_frames to a block, cluster_frames to a
-    cluster, and a cue for each cluster.  Long payloads get longer frames, so a file has a bounded packet density."""
-    step = frame_bytes * max(1, len(payload) // (frame_bytes * 512))
+    cluster, and a cue for each cluster."""
+    step = frame_bytes
     tick_ns = 1_000_000
     ticks = lambda sample: sample * 1000 // rate
     head = element(EBML, uint(EBML_VERSION, 1) + uint(EBML_READ_VERSION, 1) + uint(EBML_MAX_ID, 4) + uint(EBML_MAX_SIZE, 8) + element(DOC_TYPE, b"matroska") + uint(DOC_TYPE_VERSION, 4) + uint(DOC_TYPE_READ_VERSION, 2))
@@ -315,6 +316,22 @@ def payload_of(data: bytes, parsed: Parsed, track: int = 1) -> bytes:
     return b"".join(data[p.offset : p.offset + p.length] for p in parsed.packets if p.track == track)
 
 
+def seek(data: bytes, parsed: Parsed, time_ns: int) -> list[Packet]:
+    """Packets of the cluster that the last cue at or before the time points to; the cluster alone is read."""
+    at = max(((t, at) for t, _, at in parsed.cues if t <= time_ns), default=None)
+    if at is None:
+        return []
+    view = memoryview(data)
+    ident, body = read_vint(view, at[1], keep_marker=True)
+    if ident != CLUSTER:
+        raise MatroskaError(f"the cue of {at[0]} ns points to no cluster")
+    size, body = read_vint(view, body)
+    end = unknown_end(view, body, len(view), ident) if size == UNKNOWN else body + size
+    out = Parsed([], [], [], [], parsed.scale)
+    _cluster(view, body, end, out, {t["number"]: t for t in parsed.tracks})
+    return out.packets
+
+
 # --- tables -------------------------------------------------------------------------------------------------
 
 PACKETS = "media_id bigint, track int, cluster int, block_offset bigint, frame int, timestamp_ns bigint, keyframe boolean, lacing int, offset bigint, length bigint, cue boolean, error string"
@@ -368,15 +385,38 @@ def stored(text: str | None, unit: int = 192) -> tuple[int, bytes]:
 
 
 def features(data: bytes) -> tuple[bytes, str]:
-    """The payload read back from the stored bytes, and a summary of the packet table."""
+    """The payload read back from the stored bytes, and a summary of its samples and packets.
+
+    Samples are unsigned 8-bit around 128: their sum, energy and turning points, a histogram of eight levels, the loudest
+    packet by energy with its time, and by way of the cues the checksum of the samples of the cluster at half time.
+    """
     parsed = parse(data)
     payload = payload_of(data, parsed)
-    last = parsed.packets[-1]
-    crc = 0
-    for p in parsed.packets:
-        crc = zlib.crc32(b"%d:%d:%d;" % (p.timestamp_ns, p.offset, p.length), crc)
-    said = f"clusters={len(parsed.clusters)};cues={len(parsed.cues)};packets={len(parsed.packets)};last_ns={last.timestamp_ns};lacings={''.join(map(str, sorted({p.lacing for p in parsed.packets})))};table_crc32={crc}"
-    return payload, said
+    raw = np.frombuffer(payload, np.uint8)
+    samples = raw.astype(np.int16) - 128
+    lengths = np.array([p.length for p in parsed.packets])
+    starts = np.concatenate([[0], np.cumsum(lengths)[:-1]])[lengths > 0]
+    full = [p for p in parsed.packets if p.length]
+    energy = np.add.reduceat(samples.astype(np.int32) ** 2, starts, dtype=np.int64)
+    loud = int(np.argmax(energy))
+    slopes = np.sign(np.diff(samples))
+    slopes = slopes[slopes != 0]
+    levels = np.bincount(raw >> 5, minlength=8)
+    half = b"".join(data[p.offset : p.offset + p.length] for p in seek(data, parsed, full[-1].timestamp_ns // 2))
+    said = {
+        "clusters": len(parsed.clusters),
+        "packets": len(parsed.packets),
+        "lacings": "".join(map(str, sorted({p.lacing for p in parsed.packets}))),
+        "last_ns": parsed.packets[-1].timestamp_ns,
+        "sum": int(samples.sum(dtype=np.int64)),
+        "energy": int(energy.sum()),
+        "turns": int(np.count_nonzero(slopes[1:] != slopes[:-1])),
+        "levels": ",".join(map(str, levels)),
+        "loud_ns": full[loud].timestamp_ns,
+        "loud_energy": int(energy[loud]),
+        "half_crc32": zlib.crc32(half),
+    }
+    return payload, ";".join(f"{k}={v}" for k, v in said.items())
 
 
 def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
