@@ -212,6 +212,19 @@ def test_near_duplicates_by_brute_force(spark, docs, odd, none):
     assert neardup.near_duplicates(none).count() == 0
 
 
+def test_near_copies_without_ids(spark):
+    random.seed(12)
+    words = random.choices([f"w{i}" for i in range(3000)], k=200)
+    text = lambda *changed: " ".join("z" * (i % 9 + 1) if i in changed else w for i, w in enumerate(words))
+    # 5 and 9 are linked only over a text that no row with an id has.
+    rows = [(9, text()), (None, text(*range(20))), (None, text(*range(20))), (5, text(*range(40))), (None, text()), (None, "alone " * 9), (None, "alone " * 9), (None, ""), (None, None), (7, "")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = [(str(r["doc_id"]), str(r["component_id"]), r["kept"]) for r in neardup.near_duplicates(frame).collect()]
+    assert sorted(found) == sorted([("9", "5", False), ("None", "5", False), ("None", "5", False), ("None", "5", False), ("5", "5", True), ("None", "None", True), ("None", "None", True), ("None", "None", True), ("None", "None", True), ("7", "7", True)])
+    stay = sorted((str(r["doc_id"]), str(r["text"])[:5]) for r in neardup.near_dedup(frame).collect())
+    assert stay == sorted([("5", text(*range(40))[:5]), ("None", "alone"), ("None", "alone"), ("None", ""), ("None", "None"), ("7", "")])
+
+
 def test_exact_index(spark, odd, none, tmp_path):
     rows = sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in exact.exact_groups(odd).collect())
     assert rows == [(1, 1, 2, True), (2, 1, 2, False), (3, 3, 3, True), (4, 3, 3, False), (4, 3, 3, False), (5, 5, 1, True), (6, 6, 1, True), (7, 7, 1, True)]

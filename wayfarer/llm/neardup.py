@@ -28,8 +28,19 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
+
+from .common import fresh, pick, quoted, remove, shared_dir, sliced
+from .common import written as write_table
+
+#: Tables written to a folder, until they are removed.
+_names: dict[str, list[str]] = {}
+
+
+def written(df: DataFrame, name: str, folder: str) -> DataFrame:
+    _names.setdefault(folder, []).append(name)
+    return write_table(df, name, folder)
 
-from .common import fresh, pick, quoted, shared_dir, sliced, written
 
 WORDS = 5
 NUMERATOR, DENOMINATOR = 75, 100
@@ -114,6 +125,14 @@ def wider(batches):
         yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in sets], pa.int64()), h], names=["vid", "n", "h"])
 
 
+def digested(batches):
+    """(text) to (digest of its set, text)."""
+    for part in sliced(batches):
+        sets = [_set_of(t or "") for t in part.column(0).to_pylist()]
+        digests = pa.array([d if len(s) else None for s, d in sets], pa.binary())
+        yield pa.RecordBatch.from_arrays([digests, part.column(0)], names=["digest", "text"])
+
+
 def least_overlap(n):
     return F.least(F.lit(MIN_OVERLAP), F.ceil(n * NUMERATOR / DENOMINATOR).cast("int"))
 
@@ -257,14 +276,14 @@ def components(edges: DataFrame, folder: str, name: str) -> DataFrame:
 
 
 def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, digest) of every row and (digest, component_id) of every class."""
+    """(doc_id, n, digest) of every row and (digest, component_id, root) of every class; root names the component even
+    where no row of it has an id.  What is made on the way is removed from the folder at the end."""
     folder = folder or shared_dir(docs.sparkSession)
     texts = pick(docs, doc_id=id_col, text=text_col)
     sketched = written(sketches(texts), "sketched", folder)
-    classes = sketched.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
-    # One row of the class brings the sketch; ids may repeat, so the digest is part of the key.
-    held = sketched.where("digest is not null").select("doc_id", "digest", "sketch").dropDuplicates(["doc_id", "digest"])
-    classes = classes.join(held, ["digest", "doc_id"]).withColumn("vid", F.monotonically_increasing_id())
+    # Equal sets have equal sketches, so any row of the class brings it.
+    classes = sketched.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = classes.withColumn("vid", F.monotonically_increasing_id())
     classes = written(classes.select("vid", "digest", "doc_id", "n", "sketch"), "classes", folder)
 
     values = classes.select("vid", "n", F.explode("sketch").alias("h"))
@@ -282,6 +301,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             yield part.select(["vid", "text"]).filter(pa.array(keep, pa.bool_()))
 
     bodies = texts.join(wanted, "doc_id").select("vid", "text", "digest").mapInArrow(same_set, "vid bigint, text string")
+    # Classes without any id find a text by its digest.
+    bare = texts.where("doc_id is null").select("text").mapInArrow(digested, "digest binary, text string").groupBy("digest").agg(F.first("text").alias("text"))
+    bodies = bodies.unionByName(bare.join(wanted.where("doc_id is null").select("vid", "digest"), "digest").select("vid", "text"))
     bodies = written(bodies.dropDuplicates(["vid"]), "texts", folder)
     marks = written(kept.select("vid", "sketch"), "marks", folder)
 
@@ -317,7 +339,11 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     roots = components(links, folder, "cc-all")
     named = classes.select("digest", "doc_id", "vid").join(roots, "vid", "left").withColumn("root", F.coalesce("root", "vid"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return sketched.select("doc_id", "n", "digest"), written(named.join(least, "root").select("digest", "component_id"), "components", folder)
+    out = written(named.join(least, "root").select("digest", "component_id", "root"), "components", folder)
+    for name in _names.pop(folder, []):
+        if name not in ("sketched", "components"):
+            remove(docs.sparkSession, f"{folder}/{name}")
+    return sketched.select("doc_id", "n", "digest"), out
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -336,9 +362,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, that stay: those without words, and of each component the one of smallest id.
 
-    Where the smallest id occurs with several texts of the component, or repeats, each of its rows stays.
+    Where the smallest id occurs with several texts of the component, or repeats, each of its rows stays.  Rows without
+    an id give way to any row with one; of a component without ids the texts of one set stay.
     """
-    key = fresh(docs, "wf_kept_id")
-    named = lambda c: F.coalesce(c.cast("string"), F.lit("none"))
-    kept = near_duplicates(docs, id_col, text_col).where("kept").select(named(F.col("doc_id")).alias(key)).distinct()
-    return docs.withColumn(key, named(F.col(quoted(id_col)))).join(kept, [key], "left_semi").drop(key)
+    key, nulled = fresh(docs, "wf_kept_id"), F.col(quoted(id_col)).isNull()
+    rows, named = near_components(docs, id_col, text_col)
+    all_rows = rows.join(named, "digest", "left")
+    kept = all_rows.where(F.col("doc_id").isNotNull() & (F.col("digest").isNull() | (F.col("doc_id") == F.col("component_id"))))
+    kept = kept.select(F.col("doc_id").cast("string").alias(key)).distinct()
+    with_id = docs.where(~nulled).withColumn(key, F.col(quoted(id_col)).cast("string")).join(kept, [key], "left_semi").drop(key)
+    # Rows without an id are known by their set alone.
+    at, names = docs.columns.index(text_col), [*docs.columns, key]
+
+    def sets(batches):
+        for part in sliced(batches):
+            found = [_set_of(t or "") for t in part.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([d if len(s) else None for s, d in found], pa.binary())], names=names)
+
+    bare = docs.where(nulled).mapInArrow(sets, StructType([*docs.schema.fields, StructField(key, BinaryType())]))
+    alone = named.where("component_id is null").groupBy("root").agg(F.min("digest").alias(key)).select(key)
+    return with_id.unionByName(bare.where(F.col(key).isNull()).drop(key)).unionByName(bare.join(alone, [key], "left_semi").drop(key))
