@@ -365,17 +365,50 @@ def test_language_gradients_and_accuracy(docs):
         assert abs((up - loss()) / 2e-2 - g[at]) < 0.05 * abs(g[at]) + 1e-3
         model.params[name][at] = old
     rows = [(r["text"], r["lang"]) for r in docs.collect()]
-    model = langid.learn(rows[:150])
+    model = langid.learn([(langid.windows_of(t), lang) for t, lang in rows[:150]])
     right = sum(p == lang for (p, _), (_, lang) in zip(langid.predict_texts(model, [t for t, _ in rows[150:]]), rows[150:], strict=True))
     assert right >= 0.9 * len(rows[150:])
 
 
 def test_language_tables(odd, none):
-    model = langid.learn([("the and of to", "en"), ("der die und das", "de")])
+    model = langid.learn([(langid.windows_of("the and of to"), "en"), (langid.windows_of("der die und das"), "de")])
     found = {r["doc_id"]: r["lang_pred"] for r in langid.identify(odd, model).collect()}
     assert [k for k, v in found.items() if v == "und"] == [1, 2, 7]
     assert langid.language_filter(odd, model).columns == odd.columns and langid.identify(none, None).count() == 0
-    assert langid.training_rows(none) == []
+    assert langid.training_rows(none) == [] and langid.language_filter(none, model).count() == 0
+    kept = langid.language_filter(odd, model, least=0.0).collect()
+    assert sorted(r["doc_id"] for r in kept) == [3, 4, 4, 5, 6] and all(r["lang"] for r in kept)
+    windows = langid.training_rows(odd)
+    assert all(len(w) <= langid.WINDOW for ws, _ in windows for w in ws) and {lang for _, lang in windows} <= {"en", "de"}
+
+
+def test_window_averages_by_brute_force(docs):
+    """predict_texts against one window at a time, every convolution a plain sum."""
+    rows = [(r["text"], r["lang"]) for r in docs.limit(60).collect()]
+    model = langid.learn([(langid.windows_of(t), lang) for t, lang in rows])
+    p = {k: v.astype(float) for k, v in model.params.items()}
+
+    def alone(piece: bytes) -> np.ndarray:
+        x = np.zeros(langid.WINDOW, int)
+        x[: len(piece)] = list(piece)
+        top = []
+        for w in model.widths:
+            spots = range(max(len(piece) - w, 0) + 1)
+            each = np.stack([sum(p["E"][x[s + j]] @ p[f"W{w}"][j * model.dim : (j + 1) * model.dim] for j in range(w)) for s in spots])
+            top.append(np.maximum(each.max(0) + p[f"b{w}"], 0))
+        z = np.concatenate(top) @ p["V"] + p["c"]
+        e = np.exp(z - z.max())
+        return e / e.sum()
+
+    texts = [t for t, _ in rows[:12]] + ["a", "ü" * 500, None, "", "12 34"]
+    for text, (lang, score) in zip(texts, langid.predict_texts(model, texts, batch=5), strict=True):
+        if not text or text == "12 34":
+            assert (lang, score) == ("und", 0.0)
+            continue
+        raw = text.encode()
+        cuts = [raw[i : i + langid.WINDOW] for i in range(0, len(raw), langid.WINDOW)]
+        whole = sum(len(c) * alone(c) for c in cuts) / len(raw)
+        assert model.languages[int(np.argmax(whole))] == lang and abs(whole.max() - score) < 1e-3
 
 
 PAGE = '<html><head><title>t</title><script>var t="</p>";</script></head><body><header><h1>Site</h1></header><nav><a href="/">home</a></nav><div class="ad">buy</div><article><h1>%s &amp; co</h1><p><b>%s<br><p>two\n  words</p>%s</article><div id="comments"><p>first!</p></div><footer>f</footer></body></html>'

@@ -7,6 +7,7 @@ them in batches, and averages the windows' probabilities by their bytes.
 
 from __future__ import annotations
 
+import zlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -121,22 +122,31 @@ def cut(raw: bytes, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
     return x.reshape(n, window), lengths
 
 
-def learn(rows: list[tuple[str, str]], per_text: int = 4, seed: int = 7) -> ByteCNN | None:
-    """rows: (text, language).  Windows of many lengths, so that short texts are met in training."""
-    rows = [(t.encode("utf-8", "surrogatepass"), lang) for t, lang in rows if t and _LETTER.search(t)]
-    languages = sorted({lang for _, lang in rows})
+def windows_of(text: str | None, per_text: int = 4, seed: int = 7) -> list[bytes]:
+    """Random windows of many lengths, so that short texts are met in training; none of a letterless text."""
+    if not text or not _LETTER.search(text):
+        return []
+    raw = text.encode("utf-8", "surrogatepass")
+    rng, out = np.random.default_rng([seed, zlib.crc32(raw)]), []
+    for _ in range(per_text):
+        n = min(len(raw), int(rng.choice((12, 24, 48, 96, WINDOW))))
+        at = int(rng.integers(0, len(raw) - n + 1))
+        out.append(raw[at : at + n])
+    return out
+
+
+def learn(rows: list[tuple[list[bytes], str]], seed: int = 7) -> ByteCNN | None:
+    """rows: (windows of a text, language)."""
+    pairs = [(w, lang) for windows, lang in rows for w in windows]
+    languages = sorted({lang for _, lang in pairs})
     if not languages:
         return None
-    rng, xs, ns, ys = np.random.default_rng(seed), [], [], []
-    for raw, lang in rows:
-        for _ in range(per_text):
-            n = min(len(raw), int(rng.choice((12, 24, 48, 96, WINDOW))))
-            at = int(rng.integers(0, len(raw) - n + 1))
-            x = np.zeros(WINDOW, np.uint8)
-            x[:n] = np.frombuffer(raw[at : at + n], np.uint8)
-            xs.append(x), ns.append(n), ys.append(languages.index(lang))
+    x = np.zeros((len(pairs), WINDOW), np.uint8)
+    for i, (w, _) in enumerate(pairs):
+        x[i, : len(w)] = np.frombuffer(w, np.uint8)
+    place = {lang: i for i, lang in enumerate(languages)}
     model = ByteCNN(languages, seed=seed)
-    return model if len(languages) == 1 else model.fit(np.stack(xs), np.array(ns), np.array(ys))
+    return model if len(languages) == 1 else model.fit(x, np.array([len(w) for w, _ in pairs]), np.array([place[lang] for _, lang in pairs]))
 
 
 def predict_texts(model: ByteCNN | None, texts: list[str | None], batch: int = 256) -> list[tuple[str, float]]:
@@ -174,10 +184,15 @@ def held_out(key, modulus: int = 5, remainder: int = 0):
     return F.crc32(key.cast("string").cast("binary")) % modulus == remainder
 
 
-def training_rows(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", seed: int = 11) -> list[tuple[str, str]]:
-    """A bounded sample for each language of the rows that may be learned from, by smallest seeded hash.
+_SAMPLED = pa.schema([("u", pa.float64()), ("doc_id", pa.string()), ("lang", pa.string()), ("windows", pa.list_(pa.binary()))])
 
-    Counting first turns the bound into a hash threshold, so only about as many rows as wanted leave the executors.
+
+def training_rows(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", seed: int = 11) -> list[tuple[list[bytes], str]]:
+    """(windows, language) of a bounded sample for each language of the rows that may be learned from, by smallest
+    seeded hash.
+
+    Counting first turns the bound into a hash threshold.  The chosen texts are cut where they lie: only their few
+    windows, at most 4 * WINDOW bytes a row, reach the driver.
     """
     rows = pick(docs, doc_id=id_col, text=text_col, lang=lang_col).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(True)))
     rows = rows.withColumn("u", F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11) / F.lit(float(1 << 53)))
@@ -187,10 +202,18 @@ def training_rows(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, id_c
     limit = F.lit(0.0)
     for lang, n in counts.items():
         limit = F.when(F.col("lang") == lang, F.lit(min(1.0, (per_language + 4 * per_language**0.5) / n))).otherwise(limit)
+
+    def cut_up(batches):
+        for part in sliced(batches):
+            windows = pa.array([windows_of(t) for t in part.column(3).to_pylist()], pa.list_(pa.binary()))
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], windows], schema=_SAMPLED)
+
+    chosen = rows.where(F.col("u") <= limit).select("u", F.col("doc_id").cast("string").alias("doc_id"), "lang", "text")
     found: dict[str, list] = {}
-    for r in sorted(rows.where(F.col("u") <= limit).collect(), key=lambda r: (r["u"], r["doc_id"], r["text"])):
-        found.setdefault(r["lang"], []).append(r["text"])
-    return [(text, lang) for lang in sorted(found) for text in dict.fromkeys(found[lang][:per_language])]
+    for r in sorted(chosen.mapInArrow(cut_up, "u double, doc_id string, lang string, windows array<binary>").collect(), key=lambda r: (r["u"], r["doc_id"], r["windows"])):
+        found.setdefault(r["lang"], []).append(tuple(map(bytes, r["windows"])))
+    # Equal texts have equal windows: one of them is enough.
+    return [(list(windows), lang) for lang in sorted(found) for windows in dict.fromkeys(found[lang][:per_language])]
 
 
 PREDICTION = "doc_id bigint, lang_pred string, score double"
@@ -212,13 +235,24 @@ def identify(docs: DataFrame, model: ByteCNN | None, id_col: str = "doc_id", tex
     return pick(docs, doc_id=id_col, text=text_col).mapInArrow(run, PREDICTION)
 
 
-def language_filter(docs: DataFrame, model: ByteCNN | None, text_col: str = "text", least: float = 0.0) -> DataFrame:
-    """The rows of docs, all columns, whose language is determined with at least this score."""
-    at = docs.columns.index(text_col)
+#: A text is rejected if no language gets this share of it: nearly chance where four are known.
+LEAST_SCORE = 0.3
+
+
+def language_filter(docs: DataFrame, model: ByteCNN | None, text_col: str = "text", lang_col: str = "lang", least: float = LEAST_SCORE) -> DataFrame:
+    """The rows of docs, all columns, whose language is determined with at least this score; a null lang becomes the
+    prediction.
+
+    Null, empty and letterless texts go; without a model all go; repeated rows and ties are judged each by its text.
+    An empty table gives no rows.
+    """
+    at, to = docs.columns.index(text_col), docs.columns.index(lang_col)
 
     def run(batches):
         for part in sliced(batches):
             found = predict_texts(model, part.column(at).to_pylist())
-            yield part.filter(pa.array([a != UNDETERMINED and b >= least for a, b in found]))
+            said = pa.array([old if old is not None else new for old, (new, _) in zip(part.column(to).to_pylist(), found, strict=True)], part.column(to).type)
+            whole = part.set_column(to, part.schema.names[to], said)
+            yield whole.filter(pa.array([a != UNDETERMINED and b >= least for a, b in found], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
