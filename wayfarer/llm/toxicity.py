@@ -26,7 +26,8 @@ from .langid import held_out
 
 #: Bound of the labelled sample: rows for each label, chosen by the smallest seeded hashes.
 SAMPLE_PER_LABEL = 3000
-MAX_TERMS = 2048
+#: Terms are kept from this chi-square and lift (or its inverse) on.
+LEAST_CHI, LEAST_LIFT = 15, 3
 BLOCK = 64
 NEIGHBOURS = 15
 #: Added to a distance before it is inverted.
@@ -182,7 +183,7 @@ def learn(rows: list[tuple[int, str, int]], weight: dict[int, float] | None = No
     for c, y in zip(counts, labels, strict=True):
         df[y].update(c.keys())
     n1, n0 = int(labels.sum()), int((1 - labels).sum())
-    scored = []
+    kept = []
     for term in df[1].keys() | df[0].keys():
         a, b = df[1][term], df[0][term]
         if a + b < 3:
@@ -190,9 +191,9 @@ def learn(rows: list[tuple[int, str, int]], weight: dict[int, float] | None = No
         c, d = n1 - a, n0 - b
         chi = (n1 + n0) * (a * d - b * c) ** 2 / max(1, (a + b) * (c + d) * n1 * n0)
         lift = ((a + 0.5) / (n1 + 1)) / ((b + 0.5) / (n0 + 1))
-        if chi >= 15 and not 1 / 3 < lift < 3:
-            scored.append((-chi, term))
-    kept = sorted(t for _, t in sorted(scored)[:MAX_TERMS])
+        if chi >= LEAST_CHI and not 1 / LEAST_LIFT < lift < LEAST_LIFT:
+            kept.append(term)
+    kept.sort()
     terms = {t: i for i, t in enumerate(kept)}
     idf = np.array([np.log((1 + len(rows)) / (1 + df[0][t] + df[1][t])) + 1 for t in kept])
     model = ToxicityModel(terms, idf, BlockMaxIndex(0, []), [], np.zeros(0), 0.5)
