@@ -1,7 +1,8 @@
 """The corpus pipeline: language ID, toxicity, exact dedup, near dedup, packing.
 
 Every stage takes (spark, docs, sf_dir) and works on all that the stage before it kept; run() writes each stage's
-rows as Parquet in the folder that the cluster shares and reads them again.
+rows as Parquet in the folder that the cluster shares and reads them again.  A stage's own tables, and the rows of the
+stage before, are removed once its rows are written.
 """
 
 from __future__ import annotations
@@ -9,12 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from wayfarer.llm import exact, langid, neardup, packing, toxicity
-from wayfarer.llm.common import shared_dir, table, written
+from wayfarer.llm.common import remove, scratch, shared_dir, table, written
 from wayfarer.llm.queries import VOCABULARY
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go that have no language: null texts and texts without a letter."""
+    """Documents go that have no language: null texts, texts without a letter, and texts of which no language gets a
+    share above chance.  A null lang becomes the predicted one."""
     return langid.language_filter(docs, langid.learn(langid.training_rows(docs)))
 
 
@@ -24,7 +26,7 @@ def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the smallest id stays."""
+    """Of equal texts the row stays whose id the digest index holds: the smallest."""
     return exact.dedup(docs)
 
 
@@ -45,7 +47,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, folder = table(spark, sf_dir, "documents"), shared_dir(spark)
+    docs, folder, before = table(spark, sf_dir, "documents"), shared_dir(spark), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name, folder)
+        with scratch(spark):
+            docs = written(stage(spark, docs, sf_dir), name, folder)
+        if before:
+            remove(spark, f"{folder}/{before}")
+        before = name
     return docs
