@@ -471,6 +471,96 @@ def test_an_article_of_named_parts_alone():
     assert [wrappers.main_text(p, rules) for p in pages] == [f"other {i}\ntext {i}" for i in range(6)]
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<p data-x=it's>Hello dear world</p><p>it's fine > yes</p>", "Hello dear world\nit's fine > yes"),
+    ('<p title="5" tall">five</p><p title="a > b">six</p>', "five\nsix"),
+    ('<p "odd">one</p><p title = \'x>y\' class=a/b>two</p><a href=/x/>three</a> four', "one\ntwo\nthree four"),
+    ('<svg class="icon"/><p>after the icon</p><object>none<p>after', "after the icon"),
+    ('<p title="never closed>lost? no</p><p>kept</p>', "lost? no\nkept"),
+    ("<p>a <b", "a"),
+    ("<div>" * 100_000 + "hello", "hello"),
+    ("<b>" * 3000 + "deep" + "</b>" * 3000 + "<p>end</p>", "deep\nend"),
+    ("<p>x</p><hr>" * 9800, "\n".join("x" * 9800)),
+])
+def test_broken_markup(page, text):
+    assert wrappers.main_text(page, None) == text
+    rules = wrappers.ruled(wrappers.infer([page, page.replace("hello", "other"), page + "<p>more</p>"]))
+    assert wrappers.main_text(page, rules) in (text, "") or text in wrappers.main_text(page, rules)
+
+
+def test_deep_and_clashing_pages(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(1, "http://d.example/", "<div>" * 100_000 + "hello"), (2, "http://d.example/", "<div>" * 100_000 + "you"), (3, "http://d.example/", "<p>" + "long " * 200_000), (4, "http://d.example/", '<ul class="a"><li>x</ul><hr>' * 9800)]
+    frame = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumns({"host": F.lit(1), "rules": F.lit("x"), "text": F.lit(None).cast("int"), "cell": F.lit(2)})
+    found = {r["page_id"]: r["text"] for r in wrappers.extract(frame).collect()}
+    assert (found[1], found[2], found[3]) == ("hello", "you", ("long " * 200_000).strip()) and found[4].count("x") == 9800
+
+
+@pytest.mark.parametrize("fixed", ['<div class="k7">Read on every day</div>', "<blockquote>Read on every day</blockquote>", "<section><p>Read on</p><p>every day</p></section>"])
+@pytest.mark.parametrize("frame", ["<div class='q3'>{}</div>", "<article>{}</article>", "{}"])
+def test_the_wrapper_decides_without_telling_names(frame, fixed):
+    """No name says what is template: only the alignment of the pages tells."""
+    story = lambda i: f"<h2>Title {i}</h2><p>{'word ' * (i + 5)}{i}</p><p>second {i * i}</p>"
+    pages = [f"<html><body><div class='z1'>Welcome to the site</div>{frame.format(story(i) + fixed)}<div class='z9'>All about us</div></body></html>" for i in range(6)]
+    rules = wrappers.ruled(wrappers.infer(pages))
+    for i, page in enumerate(pages):
+        want = f"Title {i}\n{'word ' * (i + 5)}{i}\nsecond {i * i}"
+        assert wrappers.main_text(page, rules) == want
+        assert wrappers.main_text(page, None) != want and "every day" in wrappers.main_text(page, None)
+
+
+def test_alignment_by_brute_force():
+    random.seed(10)
+
+    def longest(a, b):
+        best = {(0, 0): 0}
+        for i in range(len(a) + 1):
+            for j in range(len(b) + 1):
+                if i and j:
+                    best[i, j] = best[i - 1, j - 1] + 1 if a[i - 1] == b[j - 1] else max(best[i - 1, j], best[i, j - 1])
+                else:
+                    best[i, j] = 0
+        return best[len(a), len(b)]
+
+    for _ in range(500):
+        a, b = (random.choices("pqrs", k=random.randint(0, 12)) for _ in range(2))
+        pairs = wrappers.common(a, b)
+        assert len(pairs) == longest(a, b) and all(a[i] == b[j] for i, j in pairs)
+        assert all(x < u and y < v for (x, y), (u, v) in zip(pairs, pairs[1:]))
+    a = [f"x{i}" for i in range(3000)]
+    b = [x for x in a if hash(x) % 7] + ["y"] * 900
+    assert all(a[i] == b[j] for i, j in wrappers.common(a, b)) and len(wrappers.common(a, b)) >= 2000
+
+
+def test_matching_by_brute_force():
+    """places against Python's own regular expressions."""
+    random.seed(14)
+    for _ in range(3000):
+        parts = [wrappers.Node(random.choice("abc"), count=random.choice(["", "?", "+", "*"])) for _ in range(random.randint(0, 6))]
+        labels = random.choices("abc", k=random.randint(0, 7))
+        found = wrappers.places(labels, wrappers.Node("#root", children=parts))
+        assert (found is not None) == bool(re.fullmatch("".join(f"{p.tag}{p.count}" for p in parts), "".join(labels)))
+        if found is not None:
+            assert [parts[k].tag for k in found] == labels and found == sorted(found)
+            assert all(found.count(k) == 1 or parts[k].count in ("+", "*") for k in found)
+            assert all(k in found or p.count in ("?", "*") for k, p in enumerate(parts))
+
+
+def test_a_wrapper_describes_its_pages():
+    random.seed(11)
+
+    def tree(depth):
+        return "".join(f"<{t}>{tree(depth - 1) if depth else random.choice(['one', 'two', ''])}</{t}>" for t in random.choices(["div", "section", "b"], k=random.randint(0, 3)))
+
+    described = 0
+    for _ in range(200):
+        pages = [tree(2) for _ in range(3)]
+        whole = wrappers.infer(pages)
+        described += sum(wrappers.described(wrappers.parse(p), whole) for p in pages)
+    assert described >= 540  # of 600; the others are read through a wrapper of their own
+
+
 def test_pipeline(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     for name, stage in corpus_pipeline.STAGES[:-1]:

@@ -43,7 +43,7 @@ SEEN = 3
 
 # Element names of the HTML standard.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style template noscript textarea title iframe svg math object".split())
+RAW = "script|style|textarea|title|iframe|noembed|noframes|xmp"
 CHROME_TAGS = set("nav footer aside form button select dialog menu head script style template noscript iframe svg math object textarea".split())
 BLOCK = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 CLOSES_P = BLOCK - {"body", "html", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "legend"}
@@ -55,8 +55,13 @@ CHROME_NAME = re.compile(r"(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|sideba
 FRAMES = set("div section article main aside nav header footer form ul ol table".split())
 HEADER_NAME = re.compile(r"(?:^|[\s_-])(?:header|topbar)(?:$|[\s_-])", re.I)
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(script|style|template|noscript|textarea|title|iframe|svg|math|object)\b((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>.*?(?:</\1\s*>|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|([^<]+|<)", re.S | re.I)
-ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+#: Attributes up to the end of a tag, as the HTML tokenizer reads them: a quote opens a value only right after the equals
+#: sign, and anywhere else it is an ordinary character.
+ATTRIBUTES = r"((?>[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s>\"'][^\s>]*+)?+)*+)"
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(" + RAW + r")(?=[\s/>])" + ATTRIBUTES + r"(?:>.*?(?:</\1\s*>|\Z)|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*+)" + ATTRIBUTES + r"(?:>|\Z)|([^<]+|<)", re.S | re.I)
+ATTRIBUTE = re.compile(r"([^\s/>=]++)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]*)))?")
+#: A slash that ends the last attribute's value closes nothing.
+SLASHED = re.compile(r"=\s*[^\s>\"']*/\Z")
 SPACE = re.compile(r"\s+")
 #: Numbers in names, as of posts and parts, are no part of a template.
 DIGITS = re.compile(r"\d+")
@@ -79,6 +84,7 @@ class Node:
     n: int = 1
     flags: int = 0
     rule: Node | None = None
+    index: tuple[dict[str, list[int]], list[int]] | None = None
 
     @property
     def label(self) -> str:
@@ -128,10 +134,10 @@ def parse(source: str) -> Node:
                 close({"p"}, {"table", "td", "th", "article", "section", "div", "li", "blockquote", "main", "aside", "form", "body"})
             if tag in SIBLINGS:
                 close(*SIBLINGS[tag])
-            name = " ".join(a or b or c for kind, a, b, c in ATTRIBUTE.findall(attrs) if kind.lower() != "id" or tag in FRAMES) if attrs else ""
+            name = " ".join(a or b or c for kind, a, b, c in ATTRIBUTE.findall(attrs) if kind.lower() in ("class", "role") or kind.lower() == "id" and tag in FRAMES) if attrs else ""
             node = Node(tag, DIGITS.sub("#", htmllib.unescape(name)))
             stack[-1].children.append(node)
-            if tag not in VOID and (tag in BLOCK or not attrs.endswith("/")) and len(stack) < MAX_DEPTH:
+            if tag not in VOID and (tag in BLOCK or not attrs.endswith("/") or SLASHED.search(attrs)) and len(stack) < MAX_DEPTH:
                 stack.append(node)
     return root
 
@@ -183,7 +189,16 @@ def merge(a: Node, b: Node, pages: bool = True) -> Node:
 
 
 def common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Positions of a common subsequence: the longest, or for long lists one through the labels unique on both sides."""
+    """Positions of a common subsequence: the longest, or for long lists one through the labels unique on both sides.
+    What both begin and end with is taken off first."""
+    head = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    most = min(len(a), len(b)) - head
+    tail = next((i for i in range(most) if a[-1 - i] != b[-1 - i]), most)
+    inner = between(a[head : len(a) - tail], b[head : len(b) - tail])
+    return [*((i, i) for i in range(head)), *((head + i, head + j) for i, j in inner), *((len(a) - tail + i, len(b) - tail + i) for i in range(tail))]
+
+
+def between(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     if len(a) * len(b) > LCS_CELLS:
         seen_a, seen_b = Counter(a), Counter(b)
         at = {x: j for j, x in enumerate(b) if seen_b[x] == 1}
@@ -283,7 +298,8 @@ def expression(node: Node) -> str:
     return f"( {body} ){node.count}" if node.count else body
 
 
-REGION, CONSTANT = 1, 2
+REGION, CONSTANT, FIXED = 1, 2, 4
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 #: Blocks that a region does not narrow down to: what stands beside them belongs to the same text.
 LEAVES = set("p li td th tr tbody thead table ul ol dl dt dd h1 h2 h3 h4 h5 h6 pre blockquote caption figcaption figure address center hr legend summary".split())
 
@@ -365,14 +381,35 @@ def regions(wrapper: Node) -> list[tuple[list[str], Node]]:
 
 
 def ruled(wrapper: Node) -> Node:
-    """The wrapper with its content regions flagged, and the named elements whose text is constant over differing pages."""
+    """The wrapper with its content regions flagged, the blocks inside them that are part of the template, and the named
+    elements whose text is constant over differing pages."""
     for _, node in regions(wrapper):
         node.flags |= REGION
+        if any(x.mark is None for x in leaves(node)):
+            flag_fixed(node)
     if any(x.mark is None for x in leaves(wrapper)):
         flag_constants(wrapper)
     return wrapper
 
 
+def flag_fixed(region: Node) -> None:
+    """Slots and what varies with the page are the text of a region.  A block (no heading) that every page of the region
+    has, with the same text, belongs to the template, unless such blocks make up most of the region."""
+    found: list[Node] = []
+    todo = [region]
+    while todo:
+        for child in todo.pop().children:
+            if child.count in ("", "+") and child.tag:
+                if child.tag in BLOCK and child.tag not in HEADINGS and constant(child):
+                    found.append(child)
+                else:
+                    todo.append(child)
+    length = lambda node: sum(x.size for x in leaves(node))
+    if 2 * sum(map(length, found)) <= length(region):
+        for node in found:
+            node.flags |= FIXED
+
+
 def flag_constants(node: Node) -> None:
     for child in node.children:
         if child.named and constant(child):
@@ -381,9 +418,9 @@ def flag_constants(node: Node) -> None:
 
 
 def dropped(node: Node, inside: bool) -> bool:
-    """Whether a page's element is chrome.  Outside the regions its name decides; inside, the name counts only where the
-    alignment finds the text constant over the host or most of the text is links."""
-    if node.tag in CHROME_TAGS:
+    """Whether a page's element is chrome or template.  Outside the regions its name decides; inside, the name counts
+    only where the alignment finds the text constant over the host or most of the text is links."""
+    if node.tag in CHROME_TAGS or node.rule is not None and node.rule.flags & FIXED:
         return True
     if not node.named:
         return False
@@ -400,38 +437,54 @@ def linked(node: Node) -> int:
 # --- extraction ---------------------------------------------------------------------------------------------
 
 
-def places(labels: list[str], parts: list[Node]) -> list[int] | None:
-    """The part of the wrapper that each label of a page's token stream is read by; None if the expression does not match."""
-    # The chains of positions that the expression can be in after each label, as linked lists.
-    states: dict[int, tuple | None] = {-1: None}
+def places(labels: list[str], wrapper: Node) -> list[int] | None:
+    """The part of the wrapper that each label of a page's token stream is read by; None if the expression does not match.
+
+    Of the parts between two that must come, the first that a reading can stand at allows whatever a later one allows,
+    so a reading is followed for one part of each such stretch.
+    """
+    parts = wrapper.children
+    if wrapper.index is None:
+        at: dict[str, list[int]] = {}
+        for k, p in enumerate(parts):
+            at.setdefault(p.label, []).append(k)
+        due = [len(parts)] * (len(parts) + 1)  # due[k]: the first part from k on that must come
+        for k in range(len(parts) - 1, -1, -1):
+            due[k] = due[k + 1] if parts[k].count in ("?", "*") else k
+        wrapper.index = at, due
+    at, due = wrapper.index
+    # Position by the part due after it; the positions before as linked lists.
+    states: dict[int, tuple[int, tuple | None]] = {due[0]: (-1, None)}
     for label in labels:
-        after: dict[int, tuple | None] = {}
-        for j, chain in states.items():
-            if j >= 0 and parts[j].count in ("+", "*") and parts[j].label == label:
-                after.setdefault(j, (j, chain))
-            for k in range(j + 1, len(parts)):
-                if parts[k].label == label:
-                    after.setdefault(k, (k, chain))
-                if parts[k].count not in ("?", "*"):
-                    break
+        spots, after = at.get(label, []), {}
+        for end, (j, chain) in states.items():
+            where = bisect_left(spots, j + 1)
+            steps = [j] if j >= 0 and parts[j].count in ("+", "*") and parts[j].label == label else []
+            if where < len(spots) and spots[where] <= end:
+                steps.append(spots[where])
+            if end < len(parts) and parts[end].label == label:
+                steps.append(end)
+            for k in steps:
+                old = after.get(due[k + 1])
+                if old is None or k < old[0]:
+                    after[due[k + 1]] = (k, (k, chain))
         if not after:
             return None
         states = after
-    for j, chain in states.items():
-        if all(p.count in ("?", "*") for p in parts[j + 1 :]):
-            out = []
-            while chain is not None:
-                out.append(chain[0])
-                chain = chain[1]
-            return out[::-1]
-    return None
+    if len(parts) not in states:
+        return None
+    chain, out = states[len(parts)][1], []
+    while chain is not None:
+        out.append(chain[0])
+        chain = chain[1]
+    return out[::-1]
 
 
 def described(page: Node, wrapper: Node) -> bool:
     """Match the page's tags against the wrapper; each element then knows the part of the wrapper that it is read by."""
     page.rule = wrapper
     stream = [c for c in page.children if c.tag or said(c)]
-    where = places([c.label for c in stream], wrapper.children)
+    where = places([c.label for c in stream], wrapper)
     return where is not None and all(described(c, wrapper.children[j]) for c, j in zip(stream, where, strict=True))
 
 
