@@ -22,6 +22,17 @@ STOPWORDS = (
 ISO = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}.*)?$"
 
 
+def unicode_classes(pattern: str) -> str:
+    """The pattern for Java with word characters, digits and word ends of all scripts, which Java limits to ASCII."""
+    inside = {r"[\w]": r"[\p{L}\p{N}_]", r"[\w": r"[\p{L}\p{N}_", r"\d": r"\p{Nd}"}
+    for old, new in inside.items():
+        pattern = pattern.replace(old, new)
+    before, after = pattern.find(r"\b"), pattern.rfind(r"\b")
+    if before >= 0:
+        pattern = pattern[:before] + r"(?<![\p{L}\p{N}_])" + pattern[before + 2 : after] + r"(?![\p{L}\p{N}_])" + pattern[after + 2 :]
+    return pattern
+
+
 def parse_time(text: Column) -> Column:
     """ISO dates and date-times; anything else is null.  Zone-less times are UTC (the session's zone)."""
     return F.when(text.rlike(ISO), F.try_to_timestamp(text))
@@ -38,7 +49,7 @@ def clock(moment: Column) -> Column:
 
 def collapse(text: Column) -> Column:
     for pattern, to in ((EMAIL, "{addr}"), (HEX, "{hex}"), (DIGITS, "{n}")):
-        text = F.regexp_replace(text, pattern, to)
+        text = F.regexp_replace(text, unicode_classes(pattern), to)
     return text
 
 

@@ -46,14 +46,11 @@ def analyse(events: DataFrame, key: str | None = None) -> Analysis:
 
 
 def overview(a: Analysis, limit: int | None = None) -> dict:
-    """The opening payload: bounded by routes and defects, not by traffic."""
+    """The opening payload: bounded by the routes that it shows and by defects, not by traffic."""
     bounds = a.events.agg(F.date_format(F.min("event_time"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("a"), F.date_format(F.max("event_time"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("b"), F.count("*").alias("n"), F.array_sort(F.collect_set("source")).alias("s"), F.array_sort(F.collect_set("kind")).alias("k")).head()
     found = grouping.ranked_candidates(grouping.candidates(a.events)).collect()
     share = grouping.unjoined_share(a.events, a.key).head()
-    routes = [json.loads(r["json"]) for r in routing.payload(a.routes, a.membership, limit).orderBy("route").collect()] if a.key else []
-    merged = [r["label"] for r in a.names.where("label <> substituted").select("label").distinct().orderBy("label").collect()]
-    busy = timing.busiest(a.durations).collect()
-    wide = timing.widest_spread(a.durations).collect()
+    routes = routing.described_table(a.routes, a.membership, dict(a.vocabulary), a.names, limit or routing.SHOWN) if a.key else {"routes": []}
     return {
         "window": {"from": bounds["a"], "to": bounds["b"]} if bounds["n"] else None,
         "records": bounds["n"],
@@ -65,7 +62,7 @@ def overview(a: Analysis, limit: int | None = None) -> dict:
             "unjoined_records": share["unjoined"],
             "key_candidates": [{"key": c["key"], "coverage": round(c["coverage"], 3), "groups": c["groups"], "sources_per_group": round(c["sources_per_group"], 1), "median_group_size": c["median_group_size"], "disqualified": c["disqualified"]} for c in found],
         },
-        "routes": {"vocabulary": dict(a.vocabulary), "collapsed_names": merged, "routes": routes},
-        "timing": {"busiest": [{"label": r["label"], "count": r["count"], "total_ms": r["total_ms"]} for r in busy], "widest_spread": [{"label": r["label"], "spread": round(r["spread"], 1)} for r in wide]},
+        "routes": routes,
+        "timing": timing.table(a.events, a.key),
         "input_quality": {"defects": [json.loads(r["json"]) for r in quality.payload(a.defects).orderBy("check", "id").collect()]},
     }

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,12 @@ from ..functions.scalars import node_source, short
 from ..schema import CHANGE_KIND, ORDER, with_value
 
 
+#: Cells in which the journeys of one route are looked through side by side.
+CELLS = 64
+#: Routes and names that one payload shows; it says how many there are.
+SHOWN = 500
+
+
 def paths(events: DataFrame, key: str) -> DataFrame:
     """(value, nodes).  events need ``node``.  Changes are left out; a node that repeats its predecessor is dropped
     before anything is collected, so a long journey in one place costs one entry."""
@@ -22,24 +30,44 @@ def paths(events: DataFrame, key: str) -> DataFrame:
 
 
 def route_table(journey_paths: DataFrame) -> DataFrame:
-    """(route, nodes, journeys): ranked by count, then by the nodes themselves.  Only aggregated routes are ranked."""
-    counted = journey_paths.groupBy("nodes").agg(F.count("*").alias("journeys"))
-    return counted.withColumn("route", F.row_number().over(Window.orderBy(F.desc("journeys"), "nodes"))).select("route", "nodes", "journeys")
+    """(route, nodes, journeys): ranked by count, then by the nodes themselves.
+
+    Ranks are two-level: routes of one count are ordered among themselves, in cells by their first node, and the sizes of
+    the counts and cells, which are few, are summed up before them.  No task orders all routes.
+    """
+    counted = journey_paths.groupBy("nodes").agg(F.count("*").alias("journeys")).withColumn("first", F.coalesce(F.get("nodes", F.lit(0)), F.lit("")))
+    inside = F.row_number().over(Window.partitionBy("journeys", "first").orderBy("nodes"))
+    sizes = counted.groupBy("journeys", "first").agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(Window.partitionBy(F.lit(0)).orderBy(F.desc("journeys"), "first").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("journeys", "first", F.coalesce(upto, F.lit(0)).alias("start"))
+    ranked = counted.withColumn("k", inside).join(starts, ["journeys", "first"])
+    return ranked.select((F.col("start") + F.col("k")).cast("int").alias("route"), "nodes", "journeys")
 
 
 def journey_routes(journey_paths: DataFrame, routes: DataFrame) -> DataFrame:
-    """(value, route)."""
-    return journey_paths.join(routes.select("nodes", "route"), "nodes").select("value", "route")
+    """(value, route).  Paths meet routes by a hash of the nodes; the few usual routes, those of a thousandth of all
+    journeys and more, are broadcast, so the journeys of the usual route are not gathered anywhere."""
+    all_journeys = routes.agg(F.sum("journeys").alias("n"))
+    marked = routes.crossJoin(F.broadcast(all_journeys)).select("nodes", "route", (F.col("journeys") * 1000 >= F.col("n")).alias("usual"))
+    usual = F.broadcast(marked.where("usual").select("nodes", F.col("route").alias("often")))
+    rest = marked.where("not usual").select("nodes", "route")
+    looked = journey_paths.join(usual, "nodes", "left")
+    # A salt by value keeps the paths that were answered apart; they look for nothing.
+    key = F.when(F.col("often").isNull(), F.col("nodes")).otherwise(F.array(F.lit("\x00"), F.col("value")))
+    found = looked.withColumn("wanted", key).join(rest.withColumnRenamed("nodes", "wanted"), "wanted", "left")
+    return found.select("value", F.coalesce("often", "route").alias("route")).where("route is not null")
 
 
 def exemplars(membership: DataFrame, most: int = 3) -> DataFrame:
-    """(route, exemplars): the first values of each route, by repeated minimum: partial aggregates only, however
-    many journeys a route has."""
-    last = membership.groupBy("route").agg(F.min("value").alias("e1"))
-    for i in range(2, most + 1):
-        onward = membership.join(last.select("route", f"e{i - 1}"), "route").where(F.col("value") > F.col(f"e{i - 1}"))
-        last = last.join(onward.groupBy("route").agg(F.min("value").alias(f"e{i}")), "route", "left")
-    return last.select("route", F.array_compact(F.array(*[f"e{i}" for i in range(1, most + 1)])).alias("exemplars"))
+    """(route, exemplars): the first values of each route, in one pass.
+
+    Values meet their route in cells by hash, each cell passes on its first few, and only those few are put together:
+    the usual route, which may hold most journeys, is never ordered in one task.
+    """
+    cell = F.pmod(F.xxhash64("value"), F.lit(CELLS))
+    inside = F.row_number().over(Window.partitionBy("route", "cell").orderBy("value"))
+    first = membership.select("route", "value", cell.alias("cell")).withColumn("k", inside).where(F.col("k") <= most)
+    return first.groupBy("route").agg(F.slice(F.array_sort(F.collect_list("value")), 1, most).alias("exemplars"))
 
 
 def ends_at(nodes: Column) -> Column:
@@ -94,3 +122,18 @@ def payload(routes: DataFrame, membership: DataFrame, limit: int | None = None)
     """One JSON object per route."""
     rows = described(routes if limit is None else routes.where(F.col("route") <= limit)).join(exemplars(membership), "route", "left")
     return rows.select("route", F.to_json(F.struct(F.concat(F.lit("route-"), "route").alias("route"), "journeys", "nodes", "ends_at", "sources", "repeats", "exemplars")).alias("json"))
+
+
+def described_table(routes: DataFrame, membership: DataFrame, vocabulary: dict[str, str], names: DataFrame | None, limit: int = SHOWN) -> dict:
+    """The route payload: the most common routes, up to a bound, and what names were made the same."""
+    counts = total(routes).head()
+    rows = [json.loads(r["json"]) for r in payload(routes, membership, limit).orderBy("route").collect()]
+    same = names.where("label <> substituted").select("label").distinct().orderBy("label").limit(limit).collect() if names is not None else []
+    return {
+        "note": "Distinct paths, the most common first. A path that ends before the others is where journeys were last seen; a node that occurs twice was passed twice.",
+        "vocabulary": dict(sorted(vocabulary.items())),
+        "collapsed_names": [r["label"] for r in same],
+        "total_journeys": counts["journeys"],
+        "total_routes": counts["routes"],
+        "routes": rows,
+    }

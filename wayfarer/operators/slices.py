@@ -186,6 +186,7 @@ class Slice:
     contrast_reason: str
     changes: int
     lines: list[str] = field(default_factory=list)
+    said_changes: list[str] = field(default_factory=list)
 
     def payload(self) -> dict:
         return {"filter": self.filter.describe(), "journeys_matched": self.total, "journeys_shown": self.shown, "contrast": self.contrast, "contrast_reason": self.contrast_reason, "changes": self.changes, "timeline": self.lines}
@@ -231,7 +232,17 @@ def take(events: DataFrame, key: str, membership: DataFrame, where: Filter, limi
     lines += ["", reason]
     if not sides:
         lines.append("no change was recorded near this slice; that does not mean that nothing changed")
-    return Slice(where, total, names, other[0]["value"] if other else None, reason, len(sides), lines)
+    return Slice(where, total, names, other[0]["value"] if other else None, reason, len(sides), lines, [c["what"] for c in sides])
+
+
+def journey_facts(events: DataFrame, key: str, membership: DataFrame, value: str, trace: str = "trace_id") -> dict | None:
+    """Size, duration, services and traces of one journey; None if there is none of that name."""
+    own = events.where(F.col("ids")[key] == value)
+    row = journeys(own, key).join(membership, "value", "left").head()
+    if row is None:
+        return None
+    traces = own.agg(F.count_distinct(F.nullif(F.col("ids")[trace], F.lit(""))).alias("n")).head()["n"]
+    return {"journey": value, "route": row["route"], "records": row["records"], "duration_ms": round(row["duration_ms"], 1), "services": row["sources"], "distinct_trace_ids": traces}
 
 
 def changes_of_slice(events: DataFrame, where: Filter, rows: list) -> DataFrame:

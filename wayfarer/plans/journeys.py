@@ -154,17 +154,6 @@ def route_common_prefix(spark, sf_dir):
     return routing.common_prefix(usual)
 
 
-@registered()
-def route_lines(spark, sf_dir):
-    r, _ = routes_of(activity(spark, sf_dir), "day_key")
-    return routing.rendered(r)
-
-
-@registered()
-def route_payload(spark, sf_dir):
-    return routing.payload(*routes_of(dialogue(spark, sf_dir), "conv_id"))
-
-
 # --- events -------------------------------------------------------------------------------------------------
 
 
@@ -185,7 +174,19 @@ def id_keys(spark, sf_dir):
     return grouping.id_keys(fulfilment(spark, sf_dir))
 
 
-@registered("SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\\w.+-]+@[\\w-]+\\.[\\w.-]+', '{addr}', 'g'), '(?i)\\b[0-9a-f]{8,}\\b', '{hex}', 'g'), '([A-Za-z]\\d)\\d+', '\\1{n}', 'g'), '(^|[^A-Za-z0-9])\\d+', '\\1{n}', 'g') AS collapsed FROM documents")
+def _replaced(text: str, *steps: tuple[str, str]) -> str:
+    for pattern, to in steps:
+        text = f"regexp_replace({text}, '{pattern}', '{to}', 'g')"
+    return text
+
+
+#: The patterns spelt out for an engine without lookaround, where a match takes the character beside it: the second
+#: step for long hexadecimal words finds those that stand right behind one of the first.
+HEX_STEP = (r"(^|[^\p{L}\p{N}_])[0-9a-fA-F]{8,}($|[^\p{L}\p{N}_])", r"\1{hex}\2")
+COLLAPSED = _replaced("text", (r"[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.-]+", "{addr}"), HEX_STEP, HEX_STEP, (r"([A-Za-z]\p{Nd})\p{Nd}+", r"\1{n}"), (r"(^|[^A-Za-z\p{Nd}])\p{Nd}+", r"\1{n}"))
+
+
+@registered("SELECT doc_id, " + COLLAPSED + " AS collapsed FROM documents")
 def collapse_text(spark, sf_dir):
     return tables.read(spark, sf_dir, "documents").select("doc_id", scalars.collapse(F.col("text")).alias("collapsed"))
 
@@ -336,17 +337,6 @@ def fragment_breaks(spark, sf_dir):
     return quality.fragment_breaks(activity(spark, sf_dir), "day_key").select("other_key", "node", "breaks")
 
 
-@registered()
-def quality_defects(spark, sf_dir):
-    d = quality.assess(activity(spark, sf_dir), "day_key")
-    return d.select("check", "id", "title", F.to_json("limits").alias("limits"), F.to_json("evidence").alias("evidence"), F.to_json("affected").alias("affected"))
-
-
-@registered()
-def quality_limits(spark, sf_dir):
-    return quality.limits(quality.assess(fulfilment(spark, sf_dir), "customer_key"))
-
-
 # --- timing -------------------------------------------------------------------------------------------------
 
 PERCENTILES = """d AS (SELECT label, list(ms ORDER BY ms) AS xs, count(*) AS n, sum(ms) AS total, max(ms) AS mx FROM s GROUP BY label),
@@ -383,12 +373,6 @@ def longest_journeys(spark, sf_dir):
     return timing.longest(activity(spark, sf_dir), "day_key")
 
 
-@registered()
-def duration_descriptions(spark, sf_dir):
-    e = activity(spark, sf_dir)
-    return timing.described(timing.node_durations(e), e.select(F.col("node").alias("label"), scalars.duration_ms().alias("ms"))).select("label", "description")
-
-
 # --- slices -------------------------------------------------------------------------------------------------
 
 AFTER, BEFORE = datetime(1995, 3, 1, tzinfo=UTC), datetime(1995, 4, 1, tzinfo=UTC)
@@ -466,21 +450,13 @@ def trace_break_marks(spark, sf_dir):
     return slices.trace_marks(activity(spark, sf_dir), "day_key", "k_id").select("value", "ordinal", "mark")
 
 
-@registered()
-def timeline_rows(spark, sf_dir):
-    e = tables.with_changes(activity(spark, sf_dir))
-    few = slices.shown(grouping.journeys(e, "day_key"))
-    near = slices.changes_by_journey(few, slices.changes(e))
-    return slices.timeline_lines(e, "day_key", few, near, "k_id").select("value", "block", "line")
-
-
 # --- triage and cost ----------------------------------------------------------------------------------------
 
 
 @registered(
     "WITH claims AS (SELECT o_orderkey AS claim, CASE o_orderkey % 5 WHEN 0 THEN NULL WHEN 1 THEN 'cust=' || o_custkey WHEN 2 THEN 'some prose here' WHEN 3 THEN CAST(o_custkey + 100000000 AS VARCHAR) ELSE CAST(o_custkey + 1000 AS VARCHAR) END AS ref FROM orders), "
     "known AS (SELECT CAST(c_custkey AS VARCHAR) AS ref FROM customer UNION SELECT CAST(c_custkey + 1000 AS VARCHAR) FROM customer), "
-    "r AS (SELECT claim, ref, regexp_matches(ref, '^[\\w][\\w./:@=-]{2,}$') AS shaped, ref IN (SELECT ref FROM known) OR (contains(ref, '=') AND regexp_replace(ref, '^[^=]*=', '') IN (SELECT ref FROM known)) AS hit FROM claims), "
+    "r AS (SELECT claim, ref, regexp_matches(ref, '^[\\p{L}\\p{N}_][\\p{L}\\p{N}_./:@=-]{2,}$') AS shaped, ref IN (SELECT ref FROM known) OR (contains(ref, '=') AND regexp_replace(ref, '^[^=]*=', '') IN (SELECT ref FROM known)) AS hit FROM claims), "
     "p AS (SELECT claim, count(ref) AS n, count(*) FILTER (shaped AND NOT hit) AS unknown, count(*) FILTER (NOT shaped) AS prose FROM r GROUP BY claim) "
     "SELECT claim, CASE WHEN n = 0 THEN 'cites no evidence at all' WHEN unknown > 0 THEN 'cites evidence that was never shown' ELSE 'cites prose rather than an identifier' END AS reason, unknown + prose AS n_bad FROM p WHERE n = 0 OR unknown > 0 OR prose > 0"
 )

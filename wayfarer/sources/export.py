@@ -48,7 +48,11 @@ def _array(*words: str) -> str:
 def raw_records(spark: SparkSession, directory: str) -> DataFrame:
     """(file_name, readable, ordinal, rec): each element's JSON text with its keys in order; rec is null for files
     without records, which still give a row for the report."""
-    files = spark.read.text(f"{directory}/*.json", wholetext=True).withColumn("file_name", F.col("_metadata.file_name"))
+    return unwrapped(spark.read.text(f"{directory}/*.json", wholetext=True).withColumn("file_name", F.col("_metadata.file_name")))
+
+
+def unwrapped(files: DataFrame) -> DataFrame:
+    """The same of (file_name, value), value being a file's whole text."""
     wrapped = (
         "get(filter(transform(json_object_keys(value), k -> from_json(get_json_object(value, concat('$[\\'', k, '\\']')), 'array<string>')),"
         " a -> size(a) > 0 and ltrim(a[0]) like '{%'), 0)"
@@ -97,7 +101,10 @@ def normalise(raw: DataFrame) -> DataFrame:
 
 def load(spark: SparkSession, directory: str) -> Export:
     """Events, the symptoms beside them, and a report for every file (also of partial losses)."""
-    raw = raw_records(spark, directory)
+    return of_raw(raw_records(spark, directory), directory)
+
+
+def of_raw(raw: DataFrame, directory: str = "") -> Export:
     telemetry = raw.where(F.col("file_name") != SYMPTOMS)
     parsed = normalise(telemetry)
     events = parsed.where(F.col("event_time").isNotNull())
@@ -115,8 +122,8 @@ def read_platform_notes(path: str | None) -> str:
 
 
 def write_events(events: DataFrame, path: str) -> None:
-    """Normalised events, by day, so that later reads prune."""
-    events.withColumn("day", F.to_date("event_time")).repartition("day").write.mode("overwrite").partitionBy("day").parquet(path)
+    """Normalised events, by day, so that later reads prune; a day with many events is written by several tasks."""
+    events.withColumn("day", F.to_date("event_time")).repartitionByRange("day", "event_time").write.mode("overwrite").partitionBy("day").parquet(path)
 
 
 __all__ = ["Export", "find_export", "load", "normalise", "parse_time", "raw_records", "read_platform_notes", "write_events"]
