@@ -19,14 +19,21 @@ SHOWN = 500
 
 def paths(events: DataFrame, key: str) -> DataFrame:
     """(value, nodes).  events need ``node``.  Changes are left out; a node that repeats its predecessor is dropped
-    before anything is collected, so a long journey in one place costs one entry."""
-    rows = with_value(events, key)
-    w = Window.partitionBy("value").orderBy(*ORDER, "node")
-    steps = rows.where(F.col("kind") != CHANGE_KIND).select("value", *ORDER, "node").withColumn("before", F.lag("node").over(w))
-    steps = steps.where(F.col("before").isNull() | (F.col("before") != F.col("node")))
-    made = steps.groupBy("value").agg(F.array_sort(F.collect_list(F.struct(*ORDER, "node"))).alias("s")).select("value", F.col("s.node").alias("nodes"))
-    bare = rows.groupBy("value").agg(F.count_if(F.col("kind") != CHANGE_KIND).alias("n")).where("n = 0").select("value", F.array().cast("array<string>").alias("nodes"))
-    return made.unionByName(bare)
+    before anything is collected, so a long journey in one place costs one entry.
+
+    Events are ordered by days, so that an identifier that holds a large share of all events is spread over its days;
+    the days' paths are then put together, and a node that two days share at their border is dropped too.  Journeys of
+    changes alone have no nodes.
+    """
+    day = F.floor(F.unix_seconds("event_time") / F.lit(86400))
+    rows = with_value(events, key).select("value", *ORDER, F.when(F.col("kind") != CHANGE_KIND, F.col("node")).alias("step"), day.alias("day"))
+    w = Window.partitionBy("value", "day").orderBy(*ORDER, "step")
+    rows = rows.withColumn("before", F.last("step", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.where(F.col("step").isNull() | F.col("before").isNull() | (F.col("before") != F.col("step")))
+    days = rows.groupBy("value", "day").agg(F.array_sort(F.collect_list(F.when(F.col("step").isNotNull(), F.struct(*ORDER, "step")))).alias("s"))
+    whole = days.groupBy("value").agg(F.array_sort(F.collect_list(F.struct("day", F.col("s.step").alias("part")))).alias("parts"))
+    nodes = whole.select("value", F.flatten(F.col("parts.part")).alias("all"))
+    return nodes.select("value", F.filter("all", lambda x, i: (i == 0) | (x != F.get("all", i - 1))).alias("nodes"))
 
 
 def route_table(journey_paths: DataFrame) -> DataFrame:

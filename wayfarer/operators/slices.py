@@ -17,6 +17,8 @@ MAX_JOURNEYS = 3
 SHOW_ALL_BELOW = 6
 MAX_RECORDS = 60
 CHANGE_MINUTES = 45
+#: Seconds of the cells in which changes and journeys meet: an hour, and each 48 times the last.
+WIDTHS = (3600, 3600 * 48, 3600 * 48**2, 3600 * 48**3)
 
 
 @dataclass(frozen=True)
@@ -94,15 +96,20 @@ def changes_near(events: DataFrame, start: datetime, end: datetime, minutes: int
 def changes_by_journey(spans: DataFrame, found: DataFrame, minutes: int = CHANGE_MINUTES) -> DataFrame:
     """(value, event_time, target, inline) for every journey and each change within reach of its span.
 
-    A range join made an equi-join: changes and spans meet in hour cells; a span lists the cells it reaches.
+    A range join made an equi-join: changes and spans meet in cells; a span lists the cells it reaches, of a width by its
+    length, so that it lists about fifty at most, and a change lies in one cell of each width.
     """
-    hour = 3600
     reach = minutes * 60
-    cells = F.sequence(F.floor((F.unix_seconds("start_time") - reach) / hour), F.floor((F.unix_seconds("end_time") + reach) / hour))
-    left = spans.select("value", "start_time", "end_time", F.explode(cells).alias("cell"))
-    right = found.withColumn("cell", F.floor(F.unix_seconds("event_time") / hour))
+    from_, to = F.unix_seconds("start_time") - reach, F.unix_seconds("end_time") + reach
+    level = F.lit(len(WIDTHS) - 1)
+    for k in range(len(WIDTHS) - 2, -1, -1):
+        level = F.when(to - from_ <= WIDTHS[k + 1], F.lit(k)).otherwise(level)
+    width = F.element_at(F.array(*map(F.lit, WIDTHS)), level + 1)
+    left = spans.select("value", "start_time", "end_time", level.alias("level"), F.explode(F.sequence(F.floor(from_ / width), F.floor(to / width))).alias("cell"))
+    cells = F.array(*[F.struct(F.lit(k).alias("level"), F.floor(F.unix_seconds("event_time") / F.lit(w)).alias("cell")) for k, w in enumerate(WIDTHS)])
+    right = found.withColumn("at", F.explode(cells)).select(found["*"], "at.level", "at.cell")
     slack = F.expr(f"interval {minutes} minutes")
-    near = left.join(right, "cell").where((F.col("event_time") >= F.col("start_time") - slack) & (F.col("event_time") <= F.col("end_time") + slack))
+    near = left.join(right, ["level", "cell"]).where((F.col("event_time") >= F.col("start_time") - slack) & (F.col("event_time") <= F.col("end_time") + slack))
     inline = (F.col("event_time") >= F.col("start_time")) & (F.col("event_time") <= F.col("end_time"))
     return near.select("value", "event_time", *ORDER[1:], "target", "what", inline.alias("inline"))
 
@@ -158,7 +165,7 @@ def timeline_lines(events: DataFrame, key: str, chosen: DataFrame, near: DataFra
     lines.  A journey shows its first MAX_RECORDS records and says how many it withholds.
     """
     chosen = chosen.select("value").distinct()
-    own = with_value(events, key).join(F.broadcast(chosen), "value", "left_semi")
+    own = with_value(events, key).join(chosen, "value", "left_semi")
     constants = constants_within(own, key) if skip is None else skip
     hidden = constants.groupBy("value").agg(F.collect_set("attribute").alias("skip"))
     marked = trace_marks(own, key, trace).withColumn("k", F.row_number().over(Window.partitionBy("value").orderBy(*ORDER, "source", "name"))).join(hidden, "value", "left")
@@ -167,10 +174,10 @@ def timeline_lines(events: DataFrame, key: str, chosen: DataFrame, near: DataFra
     cut = more.where(F.col("n") > MAX_RECORDS).select("value", F.lit(2).alias("block"), "at", F.lit(0).alias("tie"), F.lit("").alias("file_name"), F.lit(0).cast("bigint").alias("ordinal"), F.format_string("  ... %d more records not shown", F.col("n") - MAX_RECORDS).alias("line"))
     torn = more.where("traces > 1").select("value", F.lit(3).alias("block"), "at", F.lit(0).alias("tie"), F.lit("").alias("file_name"), F.lit(0).cast("bigint").alias("ordinal"), F.format_string("  ! %d distinct trace identifiers: a search by one of them returns part of this journey", "traces").alias("line"))
     said = constants.groupBy("value").agg(F.array_sort(F.collect_list(F.concat("attribute", F.lit("="), "constant"))).alias("c"))
-    head = said.join(F.broadcast(chosen), "value", "left_semi").select("value", F.lit(0).alias("block"), F.lit(None).cast("timestamp").alias("at"), F.lit(0).alias("tie"), F.lit("").alias("file_name"), F.lit(0).cast("bigint").alias("ordinal"), F.concat(F.lit("  constant throughout: "), F.concat_ws(", ", "c")).alias("line"))
+    head = said.join(chosen, "value", "left_semi").select("value", F.lit(0).alias("block"), F.lit(None).cast("timestamp").alias("at"), F.lit(0).alias("tie"), F.lit("").alias("file_name"), F.lit(0).cast("bigint").alias("ordinal"), F.concat(F.lit("  constant throughout: "), F.concat_ws(", ", "c")).alias("line"))
     out = head.unionByName(records).unionByName(cut).unionByName(torn)
     if near is not None:
-        inline = near.where("inline").join(F.broadcast(chosen), "value", "left_semi").select("value", F.lit(1).alias("block"), F.col("event_time").alias("at"), F.lit(1).alias("tie"), "file_name", "ordinal", change_line().alias("line"))
+        inline = near.where("inline").join(chosen, "value", "left_semi").select("value", F.lit(1).alias("block"), F.col("event_time").alias("at"), F.lit(1).alias("tie"), "file_name", "ordinal", change_line().alias("line"))
         out = out.unionByName(inline)
     return out.select(LINE)
 

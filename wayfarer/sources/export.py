@@ -62,24 +62,31 @@ def unwrapped(files: DataFrame) -> DataFrame:
     return files.select("file_name", "readable", F.posexplode_outer("records").alias("ordinal", "rec"))
 
 
+def _fields(record: str) -> str:
+    """array<struct<k,t,s>> of a JSON object's text: keys in their order, of equal keys the last value, no nulls.
+
+    The record is parsed twice, whatever its number of keys: as text, and as variants, which only tell the types.
+    """
+    kind = (
+        "case when y is null or y = 'VOID' then null when y = 'STRING' then 'str' when y = 'BOOLEAN' then 'bool' when y like 'OBJECT%' then 'object' "
+        "when y like 'ARRAY%' then 'json' when e.value rlike '^-?[0-9]+$' then 'int' else 'float' end"
+    )
+    types = f"transform(map_values(from_json({record}, 'map<string,variant>')), v -> schema_of_variant(v))"
+    each = f"zip_with(map_entries(from_json({record}, 'map<string,string>')), {types}, (e, y) -> named_struct('k', e.key, 't', {kind}, 's', e.value))"
+    last = "transform(array_distinct(transform(own, f -> f.k)), k -> element_at(filter(own, f -> f.k = k), -1))"
+    once = f"transform(array({each}), own -> if(size(array_distinct(transform(own, f -> f.k))) = size(own), own, {last}))[0]"
+    return f"filter({once}, f -> f.t is not null)"
+
+
 def normalise(raw: DataFrame) -> DataFrame:
     """raw: (file_name, ordinal, rec).  One row per record; event_time is null where no field gives a time.
 
     Keys are classified by name and by their order in the record; the typed view of the record decides only types.
     """
     kind = F.regexp_replace(F.regexp_replace("file_name", r"\.json$", ""), "s+$", "")
-    rows = raw.where("ltrim(rec) like '{%'").withColumn("kind", kind)
-    rows = rows.withColumn("names", F.expr("json_object_keys(rec)"))
-    value = (
-        "named_struct('k', {k}, 't', case when v is null or schema_of_variant(v) = 'VOID' then null when schema_of_variant(v) = 'STRING' then 'str' "
-        "when schema_of_variant(v) = 'BOOLEAN' then 'bool' when schema_of_variant(v) like 'OBJECT%' then 'object' when schema_of_variant(v) like 'ARRAY%' then 'json' "
-        "when {raw} rlike '^-?[0-9]+$' then 'int' else 'float' end, 's', {raw})"
-    )
-    # A variant is read once for each key: transform over a one-element array names it.
-    field = "transform(array(try_variant_get(typed, concat('$[\\'', k, '\\']'), 'variant')), v -> " + value.format(k="k", raw="get_json_object(rec, concat('$[\\'', k, '\\']'))") + ")[0]"
-    rows = rows.withColumn("typed", F.expr("try_parse_json(rec)")).withColumn("fields", F.expr(f"filter(transform(array_distinct(names), k -> {field}), f -> f.t is not null)"))
-    inner = "transform(array(try_variant_get(typed, concat('$.attributes[\\'', k, '\\']'), 'variant')), v -> " + value.format(k="k", raw="get_json_object(rec, concat('$.attributes[\\'', k, '\\']'))") + ")[0]"
-    rows = rows.withColumn("nested", F.expr(f"coalesce(filter(transform(json_object_keys(get_json_object(rec, '$.attributes')), k -> {inner}), f -> f.t is not null), filter(fields, f -> false))"))
+    rows = raw.where("ltrim(rec) like '{%'").withColumn("kind", kind).withColumn("fields", F.expr(_fields("rec")))
+    rows = rows.withColumn("inner", F.expr("get(filter(fields, f -> f.k = 'attributes' and f.t = 'object'), 0).s"))
+    rows = rows.withColumn("nested", F.expr(f"coalesce({_fields('inner')}, filter(fields, f -> false))"))
     moment = "case when f.t = 'str' and f.s rlike '^\\\\d{4}-\\\\d{2}-\\\\d{2}([T ]\\\\d{2}:\\\\d{2}.*)?$' then try_to_timestamp(f.s) end"
     fixed = f"flatten(transform({_array(*TIME_KEYS)}, k -> filter(fields, f -> f.k = k)))"
     suffixed = f"filter(fields, f -> f.k rlike '{TIME_SUFFIX}' and not array_contains({_array(*TIME_KEYS)}, f.k))"
