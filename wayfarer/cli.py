@@ -1,17 +1,18 @@
-"""quality, routes, slice, trace and ask on the console."""
+"""quality, routes, slice, trace, ask and cost on the console."""
 
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
 import sys
 from datetime import UTC, datetime
 
 from pyspark.sql import SparkSession
 
-from .operators import grouping, routing, slices, timing, triage
+from .operators import cost, grouping, routing, slices, timing, triage
 from .operators.overview import Analysis, analyse, overview
-from .sources.export import Export, find_export, load, read_platform_notes
+from .sources.export import Export, find_export, load, raw_records, read_platform_notes
 
 
 def pair(text: str) -> tuple[str, str]:
@@ -29,6 +30,14 @@ def moment(text: str) -> datetime:
     return found.replace(tzinfo=found.tzinfo or UTC).astimezone(UTC)
 
 
+def factory(text: str):
+    module, colon, name = text.partition(":")
+    try:
+        return getattr(importlib.import_module(module), name)
+    except (ImportError, AttributeError, ValueError):
+        raise argparse.ArgumentTypeError(f"expected module:function, got {text!r}") from None
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="wayfarer", description=__doc__)
     p.add_argument("--data", default=".")
@@ -52,9 +61,14 @@ def parser() -> argparse.ArgumentParser:
     a = sub.add_parser("ask")
     a.add_argument("question", nargs="?")
     a.add_argument("--symptom", type=int)
-    a.add_argument("--stub", action="store_true", help="the deterministic answerer, the only one on the console")
+    a.add_argument("--stub", action="store_true", help="the deterministic answerer, also where a model is named")
+    a.add_argument("--model", type=factory, help="module:function; called with effort=..., it returns model(messages, tools), which answers with a tool call or a text")
+    a.add_argument("--effort", default="medium", choices=["low", "medium", "high"])
     a.add_argument("--no-platform-context", action="store_true")
     a.add_argument("--platform", help="a text file about the platform")
+    c = sub.add_parser("cost")
+    c.add_argument("--per-day", type=int, default=cost.PER_DAY)
+    c.add_argument("--hot-gb-month", type=float, default=cost.HOT)
     return p
 
 
@@ -113,7 +127,8 @@ def cmd_ask(args, a: Analysis, export: Export) -> int:
             return 1
         question = told[args.symptom - 1]
     try:
-        found = triage.triage(question or "", a, None, "" if args.no_platform_context else read_platform_notes(args.platform))
+        model = args.model(effort=args.effort) if args.model and not args.stub else None
+        found = triage.triage(question or "", a, model, "" if args.no_platform_context else read_platform_notes(args.platform))
     except triage.TriageError as e:
         print(e)
         return 1
@@ -124,6 +139,13 @@ def cmd_ask(args, a: Analysis, export: Export) -> int:
     return 0
 
 
+def cmd_cost(args, a: Analysis | None, export: Export) -> int:
+    raw = raw_records(SparkSession.active(), export.directory)
+    for row in cost.report(cost.measure(raw), cost.Rates(args.per_day, args.hot_gb_month)).collect():
+        print(f"{row['line']:<22} {row['amount'] if row['amount'] is not None else 0.0:>14,.3f}")
+    return 0
+
+
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("wayfarer").config("spark.sql.session.timeZone", "UTC").getOrCreate()
@@ -132,7 +154,13 @@ def main(argv: list[str] | None = None) -> int:
     except FileNotFoundError as e:
         print(e, file=sys.stderr)
         return 2
-    return globals()[f"cmd_{args.command}"](args, analyse(export.events, args.key), export)
+    if args.command == "cost":
+        return cmd_cost(args, None, export)
+    analysis = analyse(export.events, args.key)
+    try:
+        return globals()[f"cmd_{args.command}"](args, analysis, export)
+    finally:
+        analysis.release()
 
 
 __all__ = ["main"]

@@ -21,6 +21,22 @@ class Rates:
     scan_per_tb: float = SCAN_PER_TB
 
 
+#: Rows that a ledger keeps for a message, and the bytes of one.
+LEDGER_ROWS, LEDGER_ROW_BYTES = 2, 160
+
+
+def measure(raw: DataFrame) -> DataFrame:
+    """The footprint of an export.  raw: (file_name, rec), the records' JSON text.
+
+    Spans count as such; logs are scoped where they carry a trace or a correlation, else noise; accepted messages divide.
+    """
+    truthy = lambda path: ~F.coalesce(F.get_json_object("rec", path), F.lit("")).isin("", "false", "0", "[]", "{}")
+    part = F.when(F.col("file_name") == "spans.json", "spans").when(truthy("$.trace_id") | truthy("$.attributes.correlation_id"), "scoped").otherwise("noise")
+    held = raw.where(F.col("file_name").isin("spans.json", "logs.json") & F.col("rec").isNotNull())
+    messages = raw.where((F.col("file_name") == "accepted_messages.json") & F.col("rec").isNotNull())
+    return footprint(held.select(part.alias("part"), F.octet_length("rec").alias("bytes")), messages, LEDGER_ROWS * LEDGER_ROW_BYTES)
+
+
 def footprint(records: DataFrame, messages: DataFrame, ledger_bytes: int) -> DataFrame:
     """records: (part: spans, scoped or noise; bytes).  One row: bytes per message of each part."""
     n = messages.agg(F.greatest(F.count("*"), F.lit(1)).alias("n"))

@@ -24,6 +24,12 @@ class Analysis:
     vocabulary: list[tuple[str, str]]
     names: DataFrame
 
+    held: DataFrame | None = None  # what is persisted
+
+    def release(self) -> None:
+        if self.held is not None:
+            self.held.unpersist()
+
     @property
     def limits(self) -> list[str]:
         return [r["limit"] for r in quality.limits(self.defects).collect()]
@@ -42,7 +48,7 @@ def analyse(events: DataFrame, key: str | None = None) -> Analysis:
         paths = routing.paths(noded, key)
         routes = routing.route_table(paths)
         membership = routing.journey_routes(paths, routes)
-    return Analysis(noded, key, paths, routes, membership, quality.assess(noded, key), timing.node_durations(noded), entries, names)
+    return Analysis(noded, key, paths, routes, membership, quality.assess(noded, key), timing.node_durations(noded), entries, names, events)
 
 
 def overview(a: Analysis, limit: int | None = None) -> dict:
