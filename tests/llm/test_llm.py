@@ -264,6 +264,33 @@ def test_licenses(spark, odd):
     found = {r["doc_id"]: r["license_id"] for r in licenses.license_matches(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert found == {1: "MIT", 2: "MIT", 3: None, 4: None, 5: None}
     assert licenses.license_matches(odd).where("license_id is null").count() == len(ODD)
+    empty = spark.createDataFrame([], "doc_id bigint, text string")
+    assert licenses.license_matches(empty).count() == 0
+    known = spark.createDataFrame([(licenses.digest("some terms"), "B"), (licenses.digest("some terms"), "A"), (licenses.digest("other"), "C")], "digest string, license_id string")
+    terms = spark.createDataFrame([(1, "Some  TERMS!"), (2, "other"), (3, "else"), (3, "else")], "doc_id bigint, text string")
+    for most in (100, 1):  # broadcast, and joined by shuffle
+        found = licenses.license_matches(terms, known, broadcast_rows=most).collect()
+        assert sorted((r["doc_id"], r["license_id"] or "") for r in found) == [(1, "A"), (2, "C"), (3, ""), (3, "")]
+
+
+def test_licenses_equal_sql(spark, sf):
+    import duckdb
+
+    from wayfarer.llm import queries
+
+    found = queries.license_spellings(spark, sf).toPandas()
+    assert found.license_id.notna().all() and found.license_id.nunique() == len(licenses.KNOWN | licenses.MORE)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW nation AS SELECT * FROM read_parquet('{sf}/nation.parquet')")
+    strange = ["foo\rcopyright x y\rbar", "a\x85copyright 2020 b", "copyright:\tme", "copyright notice\u2028copyright me", "(c) copyright x", "© y", "copyright", "copyright\ncopyright notices", "/* copyright holder x", "Copyright\x0bA", "copyright noticeé x"]
+    rows = spark.createDataFrame(list(enumerate(strange)), "doc_id bigint, text string")
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(strange)))
+    for key, frame in (("license_spellings", found), ("op7_license_digests", licenses.license_matches(rows).toPandas())):
+        want = con.execute(queries.ORACLE_SQL[key]).df()
+        cells = lambda f: sorted(map(str, f[sorted(f.columns)].fillna("").values.tolist()))
+        assert cells(frame) == cells(want)
+    assert [licenses.digest(t) for t in strange] == list(licenses.license_matches(rows).orderBy("doc_id").toPandas().canonical_sha256)
 
 
 def test_licenses_wrapped_titled_and_long(spark):

@@ -35,16 +35,16 @@ EQUIVALENT = [
     ("wilful", "willful"),
 ]
 
-#: Ordered (pattern, replacement) steps on the lower-cased text; the patterns mean the same in Java and Python.
+#: Ordered (pattern, replacement) steps on the lower-cased text.  They use no lookaround and name their characters, so that
+#: they mean the same in Java, Python and RE2; lines end at \\n alone.
 #: A copyright line is a statement: the word followed by (c), a year or a holder.  Lines that a wrap makes begin with the
-#: word (copyright notice, copyright holders be liable) go on with one of these words, and stay.
+#: word (copyright notice, copyright holders be liable) go on with one of these words: they are marked first, and stay.
 CONTINUED = r"(?:holders?|owners?|ownership|notices?|licen[sc]e[sd]?|laws?|statements?|interests?|acts?|and|or|on|to|in|of|for|is|as|if|at|are|was|be|that|this|it|its|which|with|under|from|not|does|you|we|may|shall|will|rights?|protection|infringement|claims?|disclaimers?|permissions?|treaty|treaties|management|restrictions?|doctrines?|status|information|legend|year|years|resulting|licensees?|assignment|assigned|registration|policy|material|the (?:software|library|program|work|package))"
-COPYRIGHT = r"(?m)^[^0-9a-z\n]*(?:copyright[ \t:]*(?:\(c\)|©|[0-9]{4})|copyright[ \t:]+(?!" + CONTINUED + r"\b)[^\s0-9]|\(c\)[ \t]*(?:copyright\b|[0-9]{4})|©)[^\n]*$"
-RIGHTS = r"(?m)^[^0-9a-z\n]*all rights reserved[^\n]*$"
-STEPS = [(COPYRIGHT, " "), (RIGHTS, " "), (r"[^0-9a-z\x{80}-\x{10FFFF}]+", " ")]
-
-#: The steps of the SQL, which takes every line that begins with the word for a statement.
-SQL_STEPS = [(r"(?m)^[^0-9a-z\n]*(?:copyright|\(c\)|©)[^\n]*$", " "), *STEPS[1:]]
+HEAD = r"^[^0-9a-z\n]*"
+MARK = (HEAD.replace("^", "^(") + r")copyright([ \t:]+" + CONTINUED + r")([^0-9a-z_]|$)", "\\1copyright\x01\\2\\3")
+COPYRIGHT = HEAD + r"(?:copyright[ \t:]*(?:\(c\)|©|[0-9]{4})|copyright[ \t:]+[^ \t\r\n\f\x0B0-9:]|\(c\)[ \t]*(?:copyright[^0-9a-z_\n]|copyright$|[0-9]{4})|©)[^\n]*$"
+RIGHTS = HEAD + r"all rights reserved[^\n]*$"
+STEPS = [MARK, (COPYRIGHT, " "), (RIGHTS, " "), (r"[^0-9a-z\x{80}-\x{10FFFF}]+", " ")]
 
 # Published licence texts and notices, whole.
 KNOWN = {
@@ -87,7 +87,6 @@ _BSD_NAMES = """
 """
 _BSD_AS_IS = """
 THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
-#: Texts that the SQL does not list.
 MORE = {"BSD-2-Clause": _BSD + _BSD_AS_IS, "BSD-3-Clause": _BSD + _BSD_NAMES + _BSD_AS_IS}
 
 # Title lines under which repositories ship the texts.
@@ -121,9 +120,9 @@ LONG = {
 
 def canonical(text: str) -> str:
     """The normal form in Python, for the few known texts."""
-    text = text.lower()
+    text = text.translate({c: c + 32 for c in range(65, 91)})
     for pattern, to in STEPS:
-        text = re.sub(pattern.replace(r"\x{80}-\x{10FFFF}", "\x80-\U0010ffff"), to, text)
+        text = re.sub("(?m)" + pattern.replace(r"\x{80}-\x{10FFFF}", "\x80-\U0010ffff"), to, text)
     for variant, form in EQUIVALENT:
         text = text.replace(variant, form)
     return text.strip(" ")
@@ -132,7 +131,7 @@ def canonical(text: str) -> str:
 def canonical_column(text: Column) -> Column:
     out = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     for pattern, to in STEPS:
-        out = F.regexp_replace(out, pattern, to)
+        out = F.regexp_replace(out, "(?md)" + pattern, to.replace("\\", "$"))
     for variant, form in EQUIVALENT:
         out = F.replace(out, F.lit(variant), F.lit(form))
     return F.trim(out)
@@ -166,16 +165,34 @@ def license_matches(docs: DataFrame, known: DataFrame | None = None, id_col: str
     return rows.join(known, hit, "left").select("doc_id", "n_chars", "canonical_sha256", "license_id")
 
 
-def license_sql() -> str:
-    """The same in DuckDB SQL over the view documents."""
+def license_sql(documents: str = "documents") -> str:
+    """The same in DuckDB SQL over a relation of (doc_id, text)."""
     text = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     quote = lambda s: "'" + s.replace("'", "''") + "'"
-    for pattern, to in SQL_STEPS:
-        text = f"regexp_replace({text}, {quote(pattern)}, '{to}', 'g')"
+    for pattern, to in STEPS:
+        text = f"regexp_replace({text}, {quote('(?m)' + pattern)}, {quote(to)}, 'g')"
     for variant, form in EQUIVALENT:
         text = f"replace({text}, {quote(variant)}, {quote(form)})"
-    rows = ", ".join(f"({quote(digest(t))}, {quote(n)})" for n, t in KNOWN.items())
+    rows = ", ".join(f"({quote(d)}, {quote(n)})" for d, n in known_digests())
     return (
-        f"WITH known(digest, license_id) AS (VALUES {rows}), c AS (SELECT doc_id, coalesce(length(text), 0)::BIGINT AS n_chars, trim({text}, ' ') AS canonical FROM documents) "
+        f"WITH listed(digest, name) AS (VALUES {rows}), known AS (SELECT digest, min(name) AS license_id FROM listed GROUP BY digest), c AS (SELECT doc_id, coalesce(length(text), 0)::BIGINT AS n_chars, trim({text}, ' ') AS canonical FROM {documents}) "
         "SELECT c.doc_id, c.n_chars, sha256(c.canonical) AS canonical_sha256, k.license_id FROM c LEFT JOIN known k ON k.digest = sha256(c.canonical) AND c.canonical <> ''"
     )
+
+
+def spellings(nations: DataFrame) -> DataFrame:
+    """(doc_id, text): a licence text for each nation, which holds the copyright, in changing case and wrapping."""
+    texts = [*(KNOWN | MORE).values()]
+    listed = F.array(*map(F.lit, texts))
+    body = F.get(listed, (F.col("n_nationkey") % len(texts)).cast("int"))
+    form = F.col("n_nationkey") % 3
+    body = F.when(form == 0, F.upper(body)).when(form == 1, F.replace(F.replace(body, F.lit(" copyright "), F.lit("\ncopyright ")), F.lit(" COPYRIGHT "), F.lit("\n * COPYRIGHT "))).otherwise(F.replace(body, F.lit(", "), F.lit(",\n\t")))
+    return nations.select(F.col("n_nationkey").alias("doc_id"), F.concat(F.lit("Copyright (c) 2020 "), "n_name", F.lit("\nCopyright "), "n_name", F.lit(" and others\nAll rights reserved.\n\n"), body).alias("text"))
+
+
+def spellings_sql() -> str:
+    quote = lambda s: "'" + s.replace("'", "''") + "'"
+    texts = [*(KNOWN | MORE).values()]
+    body = f"[{', '.join(map(quote, texts))}][n_nationkey % {len(texts)} + 1]"
+    form = f"CASE n_nationkey % 3 WHEN 0 THEN upper({body}) WHEN 1 THEN replace(replace({body}, ' copyright ', '\ncopyright '), ' COPYRIGHT ', '\n * COPYRIGHT ') ELSE replace({body}, ', ', ',\n\t') END"
+    return license_sql(f"(SELECT n_nationkey AS doc_id, 'Copyright (c) 2020 ' || n_name || '\nCopyright ' || n_name || ' and others\nAll rights reserved.\n\n' || {form} AS text FROM nation) AS made")

@@ -43,6 +43,11 @@ def op7_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_matches(table(spark, sf_dir, "documents"))
 
 
+def license_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Operator 7 over licence texts in many spellings, so that its matches are held against SQL too."""
+    return licenses.license_matches(licenses.spellings(table(spark, sf_dir, "nation")))
+
+
 def op8_concatenate_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), VOCABULARY, 2048, 1)
 
@@ -68,6 +73,7 @@ QUERIES = {
     "op5_bottom_k": op5_bottom_k,
     "op6_digest_index": op6_digest_index,
     "op7_license_digests": op7_license_digests,
+    "license_spellings": license_spellings,
     "op8_concatenate_and_cut": op8_concatenate_and_cut,
     "op9_nearest_toxic": op9_nearest_toxic,
     "op10_byte_cnn": op10_byte_cnn,
@@ -79,4 +85,5 @@ ORACLE_SQL = {
              g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM n GROUP BY 1)
         SELECT n.doc_id, g.keep_id, g.group_size, n.doc_id = g.keep_id AS kept, n.text_sha256 FROM n JOIN g USING (text_sha256)""",
     "op7_license_digests": licenses.license_sql(),
+    "license_spellings": licenses.spellings_sql(),
 }
