@@ -117,6 +117,26 @@ def test_bpe_equals_the_library(docs):
         assert mine.decode(ids) == theirs.decode(ids, skip_special_tokens=False) == text
 
 
+def test_token_tables(spark, odd, none):
+    """token_digests, encode_texts and decode_ids over odd rows, against the library."""
+    from tokenizers import Tokenizer
+
+    theirs = Tokenizer.from_file(VOCABULARY)
+    rows = odd.unionByName(spark.createDataFrame([(8, " " * 300_000 + "x", "en", "s"), (9, "a" * 100_000, "en", "s")], SCHEMA), allowMissingColumns=True)
+    texts = {r["doc_id"]: r["text"] or "" for r in rows.collect()}
+    found = bpe.token_digests(rows, VOCABULARY).collect()
+    assert len(found) == rows.count()
+    for r in found:
+        ids = theirs.encode(texts[r["doc_id"]], add_special_tokens=False).ids
+        assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert r["decoded_sha256"] == hashlib.sha256(theirs.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+    back = bpe.decode_ids(bpe.encode_texts(rows, VOCABULARY), VOCABULARY).collect()
+    assert all(r["text"] == texts[r["doc_id"]] for r in back) and len(back) == len(found)
+    assert bpe.token_digests(none, VOCABULARY).count() == 0 and bpe.encode_texts(none, VOCABULARY).count() == 0
+    nulls = spark.createDataFrame([(1, None)], "doc_id bigint, ids array<int>")
+    assert bpe.decode_ids(nulls, VOCABULARY).head()["text"] == ""
+
+
 def test_automaton_by_brute_force():
     letters = "abc"
     merges = [("a", "a"), ("b", "a"), ("aa", "a"), ("aa", "ba"), ("c", "aaa")]
@@ -362,6 +382,46 @@ def test_toxicity_search_is_exact_and_learns():
     assert toxicity.learn([]) is None and 0 <= model.score(None)[0] <= 1
 
 
+def test_scores_by_brute_force(spark, sf, docs):
+    """Every score of op9's query from all cosines, without index, blocks or bounds."""
+    from wayfarer.llm import queries
+
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    model = toxicity.learn(*toxicity.labelled_rows(docs, labels))
+    dense = np.zeros((model.index.n, len(model.terms)))
+    for t, (where, own) in enumerate(model.index.postings):
+        dense[where, t] = own
+    assert np.allclose((dense**2).sum(1), 1)
+    found = {r["doc_id"]: r for r in queries.op9_nearest_toxic(spark, sf).collect()}
+    assert len(found) == docs.count()
+    for r in docs.collect():
+        own = np.zeros(len(model.terms))
+        for word in re.findall(r"\w+", (r["text"] or "").lower()):
+            for term in toxicity.terms_of_word(word):
+                if term in model.terms:
+                    own[model.terms[term]] += 1
+        own[own > 0] = (1 + np.log(own[own > 0])) * model.idf[own > 0]
+        cosines = dense @ (own / (np.linalg.norm(own) or 1))
+        near = [d for d in np.argsort(-np.round(cosines, 9), kind="stable")[: toxicity.NEIGHBOURS] if cosines[d] > 1e-12]
+        w = 1 / (1 - np.minimum(1, cosines[near]) + toxicity.SOFTEN)
+        rest = (toxicity.NEIGHBOURS - len(near) + 1) / (1 + toxicity.SOFTEN)
+        vote = ((w * model.labels[near]).sum() + rest * model.prior) / (w.sum() + rest)
+        assert abs(np.clip(np.interp(vote, *model.steps), 0, 1) - found[r["doc_id"]]["score"]) < 1e-6
+
+
+def test_held_out_toxicity(spark, sf):
+    from pyspark.sql import functions as F
+
+    from wayfarer.llm import queries
+
+    wide = sf.replace("sf0.001", "sf0.01")
+    found = queries.op9_nearest_toxic(spark, wide).join(spark.read.parquet(f"{wide}/labels.parquet"), "doc_id").where("held_out")
+    row = found.agg(F.sum((F.col("toxic") == 0).cast("int")).alias("clean"), F.sum(((F.col("toxic") == 0) & (F.col("predicted") == 1)).cast("int")).alias("false")).head()
+    assert row["clean"] > 50 and row["false"] <= 0.01 * row["clean"]
+    means = {r["toxic"]: r["m"] for r in found.groupBy("toxic").agg(F.avg("score").alias("m")).collect()}
+    assert means[1] > 3 * means[0]
+
+
 def test_only_near_copies_leave_the_labelled_sample():
     random.seed(4)
     words = [f"w{i}" for i in range(40)]  # few words: texts share most of them without being copies
@@ -633,3 +693,16 @@ def expected_of_pipeline(spark, sf, rows):
                 u, v = sorted((root(a), root(b)))
                 least[v] = u
     return {i for i in sets if root(i) == i}
+
+
+def test_pipeline_stages_on_odd_tables(spark, sf, odd, none, tmp_path):
+    """Nulls, repeats, long and empty texts, clashing columns, and no rows, through every stage with packing."""
+    spark.createDataFrame([(i, 1, i % 2) for i in range(1, 8)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for docs in (odd, none):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            if name != "packing":
+                assert out.columns == docs.columns, name
+                assert {r["doc_id"] for r in out.collect()} <= {r["doc_id"] for r in docs.collect()}
+            docs = out
+        assert docs.groupBy("doc_id").sum("length").count() == docs.select("doc_id").distinct().count()

@@ -41,12 +41,8 @@ def terms_of_word(word: str) -> tuple[str, ...]:
     return (word, "^" + word[:PREFIX]) if len(word) > PREFIX else (word, "^" + word)
 
 
-def term_counts(text: str | None) -> Counter:
-    out: Counter = Counter()
-    for word, n in Counter(_WORD((text or "").lower())).items():
-        for term in terms_of_word(word):
-            out[term] += n
-    return out
+def terms_of(text: str | None) -> set[str]:
+    return {term for word in set(_WORD((text or "").lower())) for term in terms_of_word(word)}
 
 
 def shingles(text: str, size: int = 5) -> set[int]:
@@ -92,13 +88,13 @@ class BlockMaxIndex:
             np.maximum.at(self.maxima[t], docs // BLOCK, weights)
 
     def search(self, terms: list[int], weights: np.ndarray, k: int, without: int = -1) -> list[tuple[float, int]]:
-        """The k documents of largest dot product above zero, as (score, document); ties by visiting order."""
+        """The k documents of largest dot product above zero, as (score, document); ties by document."""
         if not terms or not self.n:
             return []
         bound = weights @ self.maxima[terms]
         best: list[tuple[float, int]] = []
         for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) == k and best[-1][0] >= bound[b] + 1e-12:
+            if bound[b] <= 0 or len(best) == k and best[-1][0] > bound[b] + 1e-12:
                 break
             score = np.zeros(BLOCK)
             for t, w in zip(terms, weights, strict=True):
@@ -109,8 +105,8 @@ class BlockMaxIndex:
             if 0 <= without - b * BLOCK < BLOCK:
                 score[without - b * BLOCK] = 0
             least = best[-1][0] if len(best) == k else 0.0
-            if score.max() > least:
-                some = np.flatnonzero(score > least)
+            some = np.flatnonzero((score > 0) & (score >= least))
+            if len(some):
                 best = sorted([*best, *((float(score[d]), int(d + b * BLOCK)) for d in some)], key=lambda x: (-x[0], x[1]))[:k]
         return best
 
@@ -178,10 +174,9 @@ def learn(rows: list[tuple[int, str, int]], weight: dict[int, float] | None = No
     left = Counter(y for _, _, y in rows)
     weight = {y: (weight or {}).get(y, 1.0) * sampled[y] / max(1, left[y]) for y in (0, 1)}
     labels = np.array([y for _, _, y in rows])
-    counts = [term_counts(t) for _, t, _ in rows]
     df = [Counter(), Counter()]
-    for c, y in zip(counts, labels, strict=True):
-        df[y].update(c.keys())
+    for _, text, y in rows:
+        df[y].update(terms_of(text))
     n1, n0 = int(labels.sum()), int((1 - labels).sum())
     kept = []
     for term in df[1].keys() | df[0].keys():
@@ -242,7 +237,8 @@ def score_texts(docs: DataFrame, model: ToxicityModel | None, id_col: str = "doc
     """(doc_id, score, evidence), one per input row: a map, no shuffle.  evidence: "id:cosine" of the nearest three.
 
     Null and empty texts get the score of texts without any telling term; without labelled rows every score is 0;
-    repeated rows repeat; long texts are read whole; other columns are ignored.
+    repeated rows repeat; of equally near examples those earlier in the index count; long texts are read whole; an empty
+    table gives no rows; other columns are ignored.
     """
 
     def run(batches):
@@ -258,7 +254,8 @@ def score_texts(docs: DataFrame, model: ToxicityModel | None, id_col: str = "doc
 
 
 def toxicity_filter(docs: DataFrame, model: ToxicityModel | None, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs, all columns, that score below the threshold."""
+    """The rows of docs, all columns, that score below the threshold; without a model all of them.  Null and empty texts,
+    repeats and ties are judged as in score_texts; an empty table gives no rows."""
     at = docs.columns.index(text_col)
 
     def run(batches):
