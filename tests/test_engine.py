@@ -44,11 +44,12 @@ def test_ingestion(spark, tmp_path):
     assert [tuple(r) for r in e.symptoms.select("source", "text").collect()] == [("unknown", "slow")]
 
 
-def test_finding_an_export(tmp_path):
+def test_finding_an_export(tmp_path, spark):
     (tmp_path / "data").mkdir()
     write(tmp_path, baseline=[])
     write(tmp_path / "data", a=[], b=[])
-    assert export.find_export(str(tmp_path)) == str(tmp_path / "data")
+    assert export.find_export(str(tmp_path)) == export.find_export(str(tmp_path), spark) == str(tmp_path / "data")
+    assert export.find_export(f"file://{tmp_path}/", spark) == f"file://{tmp_path}/data"
     with pytest.raises(FileNotFoundError):
         export.find_export(str(tmp_path / "none"))
 

@@ -150,7 +150,7 @@ def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName("wayfarer").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     try:
-        export = load(spark, find_export(args.data))
+        export = load(spark, find_export(args.data, spark))
     except FileNotFoundError as e:
         print(e, file=sys.stderr)
         return 2

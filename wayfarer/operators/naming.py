@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import collapse, substitute
@@ -21,16 +21,16 @@ def attribute_strings(events: DataFrame) -> DataFrame:
 def learn_vocabulary(events: DataFrame) -> DataFrame:
     """(value, placeholder): all values of each attribute with 2 to 12 distinct strings of which one occurs in a name.
 
-    Only attributes within the size bound meet the names, so one side of the containment join has at most twelve rows
-    an attribute; the other is the distinct names.
+    Of each attribute at most thirteen values pass the first step, so what meets the names is one row of at most twelve
+    values an attribute; it is broadcast, and the distinct names, of which there may be any number, stay where they are.
     """
-    values = attribute_strings(events)
-    small = values.groupBy("attribute").agg(F.count("*").alias("n")).where((F.col("n") > 1) & (F.col("n") <= MAX_VOCABULARY_SIZE)).select("attribute")
-    usable = values.join(small, "attribute", "left_semi")
-    names = events.select("name").distinct()
-    seen = usable.join(names, F.contains(F.col("name"), F.col("value")), "left_semi").select("attribute").distinct()
-    kept = usable.join(seen, "attribute", "left_semi")
-    return kept.groupBy("value").agg(F.concat(F.lit("{"), F.min("attribute"), F.lit("}")).alias("placeholder"))
+    first = F.row_number().over(Window.partitionBy("attribute").orderBy("value"))
+    few = attribute_strings(events).withColumn("k", first).where(F.col("k") <= MAX_VOCABULARY_SIZE + 1)
+    few = few.groupBy("attribute").agg(F.collect_list("value").alias("values")).where((F.size("values") > 1) & (F.size("values") <= MAX_VOCABULARY_SIZE))
+    held = few.agg(F.collect_list(F.struct("attribute", "values")).alias("all"))
+    occurs = F.filter("all", lambda x: F.exists(x["values"], lambda v: F.contains(F.col("name"), v)))
+    seen = events.select("name").distinct().crossJoin(F.broadcast(held)).select(F.explode(occurs).alias("x")).select("x.*").distinct()
+    return seen.select("attribute", F.explode("values").alias("value")).groupBy("value").agg(F.concat(F.lit("{"), F.min("attribute"), F.lit("}")).alias("placeholder"))
 
 
 def vocabulary_array(vocabulary: DataFrame) -> list[tuple[str, str]]:
@@ -55,7 +55,11 @@ def learn_names(events: DataFrame, vocabulary: Column) -> DataFrame:
 
 
 def with_nodes(events: DataFrame, names: DataFrame, vocabulary: Column) -> DataFrame:
-    """Events with ``node``: source and learned label.  Names learned nowhere (changes) are only substituted."""
+    """Events with ``node``: source and learned label.  Names learned nowhere (changes) are only substituted.
+
+    A left join whose large side is the events: where one name holds much of them, the adaptive skew join cuts its
+    partition, as nothing after the join asks for that partitioning.
+    """
     labelled = events.join(names.select("name", "label"), "name", "left")
     return labelled.withColumn("node", F.concat_ws(":", "source", F.coalesce("label", substitute(F.col("name"), vocabulary)))).drop("label")
 

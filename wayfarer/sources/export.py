@@ -28,16 +28,27 @@ class Export:
     directory: str
 
 
-def find_export(start: str) -> str:
+def _names(spark: SparkSession | None, place: str) -> list[str] | None:
+    """File names in a folder, of any store that Spark reads where a session is given; None if there is no such folder."""
+    if spark is None:
+        at = Path(place)
+        return [p.name for p in at.iterdir() if p.is_file()] if at.is_dir() else None
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(place)
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(at) or not store.getFileStatus(at).isDirectory():
+        return None
+    return [f.getPath().getName() for f in store.listStatus(at) if f.isFile()]
+
+
+def find_export(start: str, spark: SparkSession | None = None) -> str:
     """The deepest of start, start/data, start/data/data with an anchor file, else with several JSON files."""
-    root = Path(start)
-    places = [p for p in (root / "data" / "data", root / "data", root) if p.is_dir()]
-    for p in places:
-        if any((p / a).exists() for a in ANCHORS):
-            return str(p)
-    for p in places:
-        if len(list(p.glob("*.json"))) > 1:
-            return str(p)
+    root = start.rstrip("/") or "/"
+    places = [(p, n) for p in (f"{root}/data/data", f"{root}/data", root) if (n := _names(spark, p)) is not None]
+    for enough in (lambda names: any(a in names for a in ANCHORS), lambda names: sum(n.endswith(".json") for n in names) > 1):
+        for place, names in places:
+            if enough(names):
+                return place
     raise FileNotFoundError(f"no JSON export below {start}")
 
 
