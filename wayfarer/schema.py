@@ -26,14 +26,18 @@ def typed(t: str, column: Column) -> Column:
     return F.when(column.isNotNull(), F.struct(F.lit(t).alias("t"), text.alias("s"), number.alias("n")))
 
 
+def _held(columns: dict[str, Column], kind: str) -> Column:
+    """A map of the columns that are not null, without lambdas, which would leave the generated code."""
+    none = F.create_map().cast(f"map<string,{kind}>")
+    return F.map_concat(none, *[F.when(v.isNotNull(), F.create_map(F.lit(k), v)).otherwise(none) for k, v in columns.items()])
+
+
 def attribute_map(**columns: Column) -> Column:
-    whole = F.create_map(*[x for k, v in columns.items() for x in (F.lit(k), v)])
-    return F.map_filter(whole, lambda k, v: v.isNotNull())
+    return _held(columns, VALUE)
 
 
 def id_map(**columns: Column) -> Column:
-    whole = F.create_map(*[x for k, v in columns.items() for x in (F.lit(k), v.cast("string"))])
-    return F.map_filter(whole, lambda k, v: v.isNotNull())
+    return _held({k: v.cast("string") for k, v in columns.items()}, "string")
 
 
 def raw_node(source: str = "source", name: str = "name") -> Column:
