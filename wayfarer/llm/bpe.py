@@ -10,8 +10,10 @@ preserves it), so a state is its parent plus one removed arc, and an arc is pres
 chain hit the arc, or the arc it was derived from, before the derivation.  Arc tables of that form grow with the
 number of merges, not with its square; looked-up arcs are kept in a transition table.
 
-Encoding walks the byte trie of the labels and the transition table together, longest label first, and remembers
-positions that lead nowhere; decoding emits the labels of the arcs.
+Over tokens the automaton is deterministic: a state has at most one arc of a label.  Over bytes several arcs of a state may
+spell the next bytes, and one of them at most lies on the accepted path.  Encoding walks the byte trie of the labels and the
+transition table together, longest label first, which is nearly always that arc, and else searches with a memory of
+positions that lead nowhere.  Transitions are looked up once and then kept in the table.  Decoding emits the labels.
 """
 
 from __future__ import annotations
@@ -300,7 +302,8 @@ _CODES = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha2
 def token_digests(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes every whole text and decodes it again; the columns of CODES, one row per input row.
 
-    A null text is the empty one and has no ids; repeated rows repeat; other columns are ignored.
+    A null text is the empty one and has no ids; repeated rows repeat; very long texts are encoded whole; an empty table
+    gives no rows; other columns are ignored.
     """
 
     def rows(part):
@@ -321,7 +324,7 @@ _IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
 
 
 def encode_texts(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids) of every row; a null text has no ids."""
+    """(doc_id, ids) of every row; a null text has no ids, repeated rows repeat, an empty table gives no rows."""
 
     def rows(part):
         enc = encoder(vocabulary)
