@@ -295,16 +295,24 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kept = classes.join(listed.select("vid"), "vid", "left_semi")
     wanted = kept.select("vid", "doc_id", "digest")
 
-    def same_set(batches):  # ids may repeat with other texts: only the text of the class's set goes on
+    def same_set(batches):  # an id may come with several texts: only that of the class's set goes on
         for part in sliced(batches):
             keep = [_set_of(t or "")[1] == d for t, d in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)]
             yield part.select(["vid", "text"]).filter(pa.array(keep, pa.bool_()))
 
-    bodies = texts.join(wanted, "doc_id").select("vid", "text", "digest").mapInArrow(same_set, "vid bigint, text string")
+    # Where an id has one row, that is the class's; only the texts of repeated ids are looked at and told apart.
+    repeated = sketched.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
+    repeated = written(repeated, "repeated", folder)
+    bodies = texts.join(wanted, "doc_id")
+    if repeated.isEmpty():
+        bodies = bodies.select("vid", "text")
+    else:
+        several_rows = bodies.join(repeated, "doc_id", "left_semi").select("vid", "text", "digest").mapInArrow(same_set, "vid bigint, text string")
+        bodies = bodies.join(repeated, "doc_id", "left_anti").select("vid", "text").unionByName(several_rows.dropDuplicates(["vid"]))
     # Classes without any id find a text by its digest.
     bare = texts.where("doc_id is null").select("text").mapInArrow(digested, "digest binary, text string").groupBy("digest").agg(F.first("text").alias("text"))
     bodies = bodies.unionByName(bare.join(wanted.where("doc_id is null").select("vid", "digest"), "digest").select("vid", "text"))
-    bodies = written(bodies.dropDuplicates(["vid"]), "texts", folder)
+    bodies = written(bodies, "texts", folder)
     marks = written(kept.select("vid", "sketch"), "marks", folder)
 
     def judged(pairs: DataFrame, name: str) -> DataFrame:
