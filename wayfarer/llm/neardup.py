@@ -57,21 +57,21 @@ CELL = 1024
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], dtype=np.uint64)
 
 
-class WordHashes:
-    """64-bit hashes of words, remembered up to a bound."""
+class WordHashes(dict):
+    """64-bit hashes of words, made when first asked for and remembered up to a bound."""
 
     def __init__(self, limit: int = 300_000):
-        self.known: dict[bytes, int] = {}
+        super().__init__()
         self.limit = limit
 
+    def __missing__(self, word: bytes) -> int:
+        found = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        return found
+
     def __call__(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > self.limit:
-            known.clear()
-        for w in set(words):
-            if w not in known:
-                known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+        if len(self) > self.limit:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
 _hashes = WordHashes()
