@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import UTC, datetime
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -400,27 +400,26 @@ def contrast_nearest(spark, sf_dir):
     return slices.contrast(every, every.where("route = 2")).select("value", "gap_us")
 
 
-CHANGED = "c AS (SELECT ts AS event_time, event_id AS ordinal, event_type AS target FROM events WHERE event_id % 97 = 0)"
+CHANGED = "c AS (SELECT ts AS event_time, event_id AS ordinal, event_type AS target FROM events WHERE json_extract_string(props, '$.k') = '7')"
 
 
-@registered(ctes(ACTIVITY.replace(" FROM events", " FROM events WHERE event_id % 97 <> 0"), SPANS, CHANGED) + "SELECT value, ordinal, target, event_time BETWEEN start_time AND end_time AS inline FROM spans JOIN c ON event_time BETWEEN start_time - INTERVAL 45 MINUTE AND end_time + INTERVAL 45 MINUTE")
+@registered(ctes(ACTIVITY.replace(" FROM events", " FROM events WHERE coalesce(json_extract_string(props, '$.k'), '') <> '7'"), SPANS, CHANGED) + "SELECT value, ordinal, target, event_time BETWEEN start_time AND end_time AS inline FROM spans JOIN c ON event_time BETWEEN start_time - INTERVAL 45 MINUTE AND end_time + INTERVAL 45 MINUTE")
 def changes_near_journeys(spark, sf_dir):
     e = tables.with_changes(activity(spark, sf_dir))
     spans = grouping.journeys(e.where("kind <> 'deploy'"), "day_key")
     return slices.changes_by_journey(spans, slices.changes(e)).select("value", "ordinal", "target", "inline")
 
 
-@registered("WITH a AS (SELECT min(ts) AS anchor FROM events), c AS (SELECT ts, event_id AS ordinal, event_type AS target FROM events, a WHERE event_id % 97 = 0 AND ts BETWEEN anchor - INTERVAL 45 MINUTE AND anchor + INTERVAL 72 HOUR + INTERVAL 45 MINUTE) SELECT ordinal, target, CAST(round_even(abs(epoch_us(anchor) - epoch_us(ts)) / 60000000.0, 0) AS BIGINT) AS minutes, CASE WHEN anchor >= ts THEN 'before' ELSE 'after' END AS side FROM c, a")
+@registered(
+    "WITH a AS (SELECT min(ts) AS anchor FROM events), c AS (SELECT ts, event_id AS ordinal, event_type AS target FROM events WHERE json_extract_string(props, '$.k') = '7') "
+    "SELECT ordinal, target, CAST(round_even(abs(epoch_us(anchor) - epoch_us(ts)) / 60000000.0, 0) AS BIGINT) AS minutes, CASE WHEN anchor >= ts THEN 'before' ELSE 'after' END AS side FROM c, a"
+)
 def change_offset_minutes(spark, sf_dir):
-    from datetime import timedelta
-
+    """All changes of the log's own period, seen from its first event."""
     e = tables.with_changes(activity(spark, sf_dir))
-    anchor = e.agg(F.unix_micros(F.min("event_time")).alias("t")).head()["t"]
-    if anchor is None:
-        anchor = 0
-    start = datetime.fromtimestamp(0, UTC) + timedelta(microseconds=anchor)
-    near = slices.changes_near(e, start, start + timedelta(hours=72))
-    return slices.change_offsets(near, start).select("ordinal", "target", "minutes", "side")
+    row = e.agg(F.unix_micros(F.min("event_time")).alias("a"), F.unix_micros(F.max("event_time")).alias("b")).head()
+    first, last = (datetime.fromtimestamp(0, UTC) + timedelta(microseconds=t or 0) for t in (row["a"], row["b"]))
+    return slices.change_offsets(slices.changes_near(e, first, last), first).select("ordinal", "target", "minutes", "side")
 
 
 @registered(

@@ -68,6 +68,6 @@ def dialogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def with_changes(events: DataFrame, modulus: int = 97) -> DataFrame:
-    """A fixed share of the events table re-labelled as deploys, for queries about changes."""
-    return events.withColumn("kind", F.when(F.col("ordinal") % modulus == 0, "deploy").otherwise(F.col("kind")))
+def with_changes(events: DataFrame, attribute: str = "k", value: str = "7") -> DataFrame:
+    """Events whose attribute has the value, re-labelled as deploys: the tables hold no changes of their own."""
+    return events.withColumn("kind", F.when(F.col("attributes")[attribute]["s"] == value, "deploy").otherwise(F.col("kind")))
