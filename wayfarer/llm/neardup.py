@@ -60,7 +60,7 @@ _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD
 class WordHashes(dict):
     """64-bit hashes of words, made when first asked for and remembered up to a bound."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, limit: int = 150_000):
         super().__init__()
         self.limit = limit
 
@@ -155,7 +155,7 @@ def estimate_passes(a, b):
     return common >= F.least(F.lit(MIN_OVERLAP), F.ceil(F.size(union) * NUMERATOR / DENOMINATOR).cast("int"))
 
 
-@lru_cache(maxsize=512)
+@lru_cache(maxsize=32)
 def _set_of(text: str) -> tuple[np.ndarray, bytes]:
     s = shingles(text)
     return s, hashlib.blake2b(s.tobytes(), digest_size=16).digest()
